@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.llm.frequencies import marked, term_frequencies
+from folioweave.llm.packing import fill_report, pack
 from folioweave.llm.pairs import cooccurrences
 from folioweave.llm.subsequences import frequent_subsequences
-from folioweave.llm.terms import term, terms
+from folioweave.llm.terms import terms
+from folioweave.llm.tokens import decode_corpus, encode_corpus, token_counts
 from folioweave.operators.deliveries import latest
 
+#: Pack sizes are a parameter table; more rows than this are an error.
+MAX_SIZES = 1000
 LABELS = ["section_type", "argument_type", "standard_of_review"]
 
 
@@ -98,6 +102,33 @@ def p4_supports(spark: SparkSession, sf: str) -> DataFrame:
     return _patterns(spark, sf, 1)
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(_read(spark, sf, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The round trip: every text out of its ids."""
+    return decode_corpus(p6_ids(spark, sf))
+
+
+def _capacities(spark: SparkSession, sf: str) -> dict[str, int]:
+    sizes = _read(spark, sf, "pack_sizes").select("size_name", "capacity_tokens").limit(MAX_SIZES + 1).collect()
+    if len(sizes) > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} pack sizes")
+    return {r.size_name: r.capacity_tokens for r in sizes}
+
+
+def p7_packs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), token_counts(F.col("text")).alias("size"))
+    packed = pack(docs, _capacities(spark, sf))
+    return packed.withColumnsRenamed({"item_id": "doc_id", "n_units": "n_tokens"})
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    packed = p7_packs(spark, sf).withColumnsRenamed({"doc_id": "item_id", "n_tokens": "n_units"})
+    return fill_report(packed, _capacities(spark, sf))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
@@ -105,6 +136,10 @@ QUERIES = {
     "p3_pair_counts": p3_pair_counts,
     "p4_found": p4_found,
     "p4_supports": p4_supports,
+    "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
+    "p7_packs": p7_packs,
+    "p7_fill": p7_fill,
 }
 
 # --- SQL ---------------------------------------------------------------------
@@ -143,5 +178,6 @@ SQL = {
     "p2_found": _COUNTS + " SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_term_counts": _COUNTS + " SELECT * FROM m",
     "p3_found": _BASKETS + " SELECT field_name, item_a, item_b FROM f WHERE n_ab >= 3 AND 1000 * n_ab >= n AND n_ab * n >= 2 * n_a * n_b",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_pair_counts": _BASKETS + " SELECT field_name, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n::DOUBLE / (n_a * n_b::DOUBLE), 6) AS lift FROM f",
 }
