@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from folioweave.llm.frequencies import marked, term_frequencies
 from folioweave.llm.packing import fill_report, pack
 from folioweave.llm.pairs import cooccurrences
+from folioweave.llm.pii import find_personal, fit, propose, redact
 from folioweave.llm.subsequences import frequent_subsequences
 from folioweave.llm.terms import terms
 from folioweave.llm.tokens import decode_corpus, encode_corpus, token_counts
 from folioweave.operators.deliveries import latest
+from folioweave.session import checkpoint
 
 #: Pack sizes are a parameter table; more rows than this are an error.
 MAX_SIZES = 1000
@@ -129,6 +131,16 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(packed, _capacities(spark, sf))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    spans = find_personal(_read(spark, sf, "documents"), _read(spark, sf, "name_lexicon"))
+    return spans.select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    docs, names = _read(spark, sf, "documents"), _read(spark, sf, "name_lexicon")
+    return redact(docs, names, fit(checkpoint(propose(docs, names))))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
@@ -140,6 +152,8 @@ QUERIES = {
     "p6_decoded": p6_decoded,
     "p7_packs": p7_packs,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 # --- SQL ---------------------------------------------------------------------
