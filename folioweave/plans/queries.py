@@ -219,7 +219,7 @@ def _drift(spark: SparkSession, sf: str) -> SpecDrift:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _drift(spark, sf).changes().select("file_id", "field_path", "change_kind")
+    return _drift(spark, sf).changes().select("file_id", "field_path", "change_kind").distinct()
 
 
 def p1_lifespans(spark: SparkSession, sf: str) -> DataFrame:
