@@ -1,0 +1,156 @@
+"""Term frequencies, pairs and subsequences against plain counting."""
+
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from folioweave.llm import pairs as pairs_module
+from folioweave.llm.frequencies import marked, term_frequencies
+from folioweave.llm.pairs import cooccurrences, gram
+from folioweave.llm.subsequences import candidates, contained, frequent_subsequences, tree
+from folioweave.llm.terms import term, term_of, terms
+
+
+def test_terms(spark):
+    cases = {
+        " Main_argument": "main_argument", "main ‑ ARGUMENT.": "main_argument", "e.g.": "e.g", "--": None, "": None, None: None,
+        "a__b": "a_b", ";x,": "x", "_._": None, "\t\nÉtat": "état",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c STRING")
+    assert [r[0] for r in df.select(term(F.col("c"))).collect()] == list(cases.values())
+    assert [term_of(c) for c in cases] == list(cases.values())
+    arrays = spark.createDataFrame([(["A b", None, ""],), (None,)], "c ARRAY<STRING>")
+    assert [r[0] for r in arrays.select(terms(F.col("c"))).collect()] == [["a_b"], []]
+
+
+def frequencies(spark, rows):
+    df = spark.createDataFrame(rows, "field_name STRING, term STRING, record STRING")
+    return {(r.field_name, r.term): (r.n_occurrences, r.n_records) for r in term_frequencies(df).collect()}
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("fg"), st.sampled_from("abcde"), st.sampled_from("123456")), min_size=1, max_size=300))
+def test_frequencies_as_counted(spark, rows):
+    expected = {k: (n, len({r for f, t, r in rows if (f, t) == k})) for k, n in Counter((f, t) for f, t, _ in rows).items()}
+    assert frequencies(spark, rows) == expected
+
+
+def test_hot_term_over_many_partitions_and_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [("f", "hot", str(i % 500)) for i in range(2000)] + [("f", f"rare{i}", "1") for i in range(50)]
+        got = frequencies(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[("f", "hot")] == (2000, 500) and len(got) == 51
+
+
+def test_frequencies_of_nulls_empty_and_clashing(spark):
+    assert frequencies(spark, [(None, "a", "1"), ("f", None, "1"), ("f", "a", None), ("f", "x" * 50_000, "1")]) == {("f", "x" * 50_000): (1, 1)}
+    df = spark.createDataFrame([("f", "a", "1", 9)], "field_name STRING, term STRING, record STRING, n_records INT")
+    assert term_frequencies(df).first().n_records == 1
+    assert term_frequencies(df.limit(0)).count() == 0
+
+
+def test_marks(spark):
+    counts = spark.createDataFrame([("f", t, n, n) for t, n in (("a", 2), ("b", 3), ("c", 40), ("d", 41))], "field_name STRING, term STRING, n_occurrences LONG, n_records LONG")
+    got = {r.term: r.mark for r in marked(counts, F.lit(100)).collect()}
+    assert got == {"a": "rare", "b": None, "c": None, "d": "common"}
+    assert {r.term for r in marked(counts, F.lit(15_001)).collect() if r.mark == "rare"} == {"a", "b"}
+
+
+def brute_pairs(baskets):
+    sets = [(f, sorted({x for x in b if x is not None})) for f, b in baskets if f is not None and b and any(x is not None for x in b)]
+    n, own, both = Counter(f for f, _ in sets), Counter(), Counter()
+    for f, b in sets:
+        own.update((f, x) for x in b)
+        both.update((f, *p) for p in itertools.combinations(b, 2))
+    return {(f, a, b): (c, own[f, a], own[f, b], n[f]) for (f, a, b), c in both.items()}
+
+
+def found_pairs(spark, baskets, **limits):
+    df = spark.createDataFrame(baskets, "field_name STRING, items ARRAY<STRING>")
+    return {(r.field_name, r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in cooccurrences(df, **limits).collect()}
+
+
+RANDOM = random.Random(3)
+BASKETS = [(RANDOM.choice("fg"), [RANDOM.choice("abcdefghij") for _ in range(RANDOM.randint(0, 6))]) for _ in range(300)]
+BASKETS += [("f", None), ("f", []), ("f", [None]), (None, ["a", "b"]), ("g", ["a", "a", None, "b"]), ("g", ["é", "Z", "a"])]
+
+
+def test_pairs_as_counted(spark, monkeypatch):
+    assert found_pairs(spark, BASKETS) == brute_pairs(BASKETS)
+    expected = {k: v for k, v in brute_pairs(BASKETS).items() if v[0] >= 8 and v[0] * 10 >= v[3]}
+    assert 0 < len(expected) and found_pairs(spark, BASKETS, least=8, one_in=10) == expected
+    monkeypatch.setattr(pairs_module, "MAX_SHIPPED_ITEMS", 1)
+    assert found_pairs(spark, BASKETS, least=8, one_in=10) == expected
+
+
+def test_lift_and_empty(spark):
+    df = spark.createDataFrame([("f", ["a", "b"], 1), ("f", ["c"], 2)], "field_name STRING, items ARRAY<STRING>, n INT")
+    (r,) = cooccurrences(df).collect()
+    assert (r.lift, r.pmi) == (2.0, 1.0)
+    assert cooccurrences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 3, 1024])
+def test_gram_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(pairs_module, "ITEM_BLOCK", block)
+    x = (np.random.default_rng(1).random((40, 7)) < 0.3).astype(int)
+    x[:, 3] = 0
+    rows, items = np.nonzero(x)
+    got = np.zeros((7, 7), dtype=int)
+    for a, b, n in gram(rows, items, 40, 7):
+        np.add.at(got, (a, b), n)
+    assert (got == np.triu(x.T @ x)).all()
+
+
+def brute_patterns(sequences, least, one_in):
+    kept = [(f, tuple(x for x in s if x is not None)) for f, s in sequences if f is not None and s]
+    kept = [(f, s) for f, s in kept if s]
+    n_all, support = Counter(f for f, _ in kept), Counter()
+    for f, s in kept:
+        support.update((f, p) for p in {p for k in range(1, len(s) + 1) for p in itertools.combinations(s, k)})
+    return {k: n for k, n in support.items() if n >= least and n * one_in >= n_all[k[0]]}
+
+
+def found_patterns(spark, sequences, **limits):
+    df = spark.createDataFrame(sequences, "field_name STRING, items ARRAY<STRING>")
+    return {(r.field_name, tuple(r.pattern)): r.n_sequences for r in frequent_subsequences(df, **limits).collect()}
+
+
+SEQUENCES = [(RANDOM.choice("fg"), [RANDOM.choice("abcd") for _ in range(RANDOM.randint(0, 7))]) for _ in range(120)]
+SEQUENCES += [("f", None), (None, ["a"]), ("g", [None, "a", None, "a", "a"]), ("f", [])] + [("g", ["x", "y", "x"])] * 5
+
+
+def test_subsequences_as_counted(spark, monkeypatch):
+    expected = brute_patterns(SEQUENCES, 3, 20)
+    assert any(len(p) > 3 for _, p in expected) and found_patterns(spark, SEQUENCES, least=3, one_in=20) == expected
+    from folioweave.llm import subsequences
+
+    monkeypatch.setattr(subsequences, "MAX_TREE", 5)
+    assert found_patterns(spark, SEQUENCES, least=12, one_in=10) == brute_patterns(SEQUENCES, 12, 10)
+    longer = found_patterns(spark, SEQUENCES, least=3, one_in=20, shortest=3)
+    assert longer == {k: n for k, n in expected.items() if len(k[1]) >= 3}
+
+
+def test_subsequences_of_nothing(spark):
+    assert found_patterns(spark, [("f", None)]) == {} and found_patterns(spark, [("f", ["a"])] * 2) == {}
+    df = spark.createDataFrame([("f", ["a"], 1)] * 3, "field_name STRING, items ARRAY<STRING>, n INT")
+    assert frequent_subsequences(df).first().n_sequences == 3
+    assert frequent_subsequences(df.limit(0)).count() == 0
+
+
+def test_candidates_and_tree():
+    assert candidates({("a",), ("b",)}) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+    assert candidates({("a", "b"), ("b", "c")}) == [] and candidates({("a", "b"), ("b", "c"), ("a", "c")}) == [("a", "b", "c")]
+    patterns = [("a", "b"), ("a", "a"), ("b", "c", "a")]
+    assert sorted(contained(tree(patterns), list("abxca"))) == [0, 1, 2] and list(contained(tree(patterns), [])) == []
+    assert sorted(contained(tree(patterns), ["a"] * 100_000)) == [1]
