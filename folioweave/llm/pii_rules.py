@@ -106,8 +106,8 @@ TITLED = re.compile(rf"(?<![\w'’.])(?:(?:{TITLES})\.?)\s+({_FAMILY})(?![\w@])"
 
 # What stands before a person's name.
 NAME_BEFORE = re.compile(
-    r"(?:(?:witness list|attn|attention|prepared by|name|affiant|declarant|deponent|witness|signed|reviewed by|filed by|submitted by|drafted by|contact person|testigo|témoin|zeuge|zeugin|verfasser|nom|nombre|nombre y apellidos)\s*:"
-    r"|signed by|prepared by|questioned|respectfully submitted,|sincerely,|this is|i am|my name is|rédigé par|signée? par|bearbeitet von|unterzeichnet von|gezeichnet von|unterschrieb|firmó la declaración|firmad[oa] por|redactad[oa] por|elaborado por|agréer nos salutations\.|cordialement,|mit freundlichen grüßen,?|atentamente,|hochachtungsvoll,?)[\s]*$",
+    r"(?<!\w)(?:(?:witness list|attn|attention|prepared by|name|affiant|declarant|deponent|witness|signed|reviewed by|filed by|submitted by|drafted by|contact person|testigo|témoin|zeuge|zeugin|verfasser|nom|nombre|nombre y apellidos)\s*:"
+    r"|signed by|prepared by|questioned|respectfully submitted,|sincerely,|this is|i am|my name is|rédigé par|signée? par|bearbeitet von|unterzeichnet von|gezeichnet von|unterschrieb|firmó la declaración|firmad[oa] por|redactad[oa] por|elaborado por|agréer nos salutations\.|cordialement,|mit freundlichen grüßen,?|atentamente,|hochachtungsvoll,?)\s*",
     re.I,
 )
 NAME_LIST = re.compile(r"witness list\s*:[^.\n]{0,200};\s*$", re.I)
@@ -139,7 +139,7 @@ NOT_NAMES = set(
 )
 
 PHONE_BEFORE = re.compile(
-    r"(?<!\w)(?:tel|tél|phone|telephone|téléphone|telefon|teléfono|telefonisch|mobile|cell|fax|voice|callback|reached\s+at|call\s+me\s+on|call|left\s+at|number\s+for\s+the\s+filer\s+is|filer\s+is|joignable\s+au|rappeler\s+le|unter|rufen|llamar\s+al|ruf)\s*[.:]*\s*[(:]?\s*$",
+    r"(?<!\w)(?:tel|tél|phone|telephone|téléphone|telefon|teléfono|telefonisch|mobile|cell|fax|voice|callback|reached\s+at|call\s+me\s+on|call|left\s+at|number\s+for\s+the\s+filer\s+is|filer\s+is|joignable\s+au|rappeler\s+le|unter|rufen|llamar\s+al|ruf)\s*[.:]*\s*:?\s*",
     re.I,
 )
 LINE_START = re.compile(r"(?:^|[\n|])[^\S\n]*$")
@@ -147,7 +147,7 @@ LINE_END = re.compile(r"[^\S\n]*(?:\r?\n|$|\|)")
 # Labels of numbers that belong to no person.
 OTHER_NUMBER = re.compile(
     r"(?<!\w)(?:index|exhibit|parcel|form|batch|bar\s+no|docket\s+no|docket|invoice|folio|pièce|beleg\s+nr|beleg|aktenzeichen|autos\s+n\.?º|dossier\s+n°|dossier|article|artikel|version|build|commit|item|tab|no\.|masked\s+as|case\s+no|claim\s+no|policy\s+no|receipt|ticket|order|"
-    r"spec\s*=|conf\s*=|page)\s*[.:#]*\s*$",
+    r"spec\s*=|conf\s*=|page)\s*[.:#]*\s*",
     re.I,
 )
 # Labels of a person's numbers.
@@ -156,13 +156,40 @@ ID_BEFORE = re.compile(
     r"travel\s+document(?:\s+(?:no\.?|number))?|driver['’]?s['’]?\s+licen[sc]e(?:\s+(?:no\.?|number))?|operator['’]?s['’]?\s+licen[sc]e(?:\s+(?:no\.?|number))?|driving\s+licence|dl\s+no\.?|führerschein(?:-?nr\.?)?|permis\s+de\s+conduire|"
     r"national\s+(?:id|identity)(?:\s+(?:no\.?|number|card))?|identity\s+(?:card|number)|personalausweis(?:-?nr\.?)?|steuer-?id(?:-?nr\.?)?|idnr\.?|steuerliche\s+identifikationsnummer|identifikationsnummer|sozialversicherungsnummer|"
     r"nir|(?:n°|numéro|no)\s+de\s+s[ée]cu(?:rité\s+sociale)?|sécurité\s+sociale|dni|nif|nie|documento\s+(?:nacional\s+)?de\s+identidad|número\s+de\s+identidad)"
-    r"\s*(?:is|ist|est|es|lautet)?\s*[:#]?\s*$",
+    r"\s*(?:(?:is|ist|est|es|lautet)(?!\w))?\s*[:#]?\s*",
     re.I,
 )
 STREET_BEFORE = re.compile(
-    r"(?:address|anschrift|adresse|domicilio|resides\s+at|premises\s+at|posted\s+at|cover\s+page\s+to|wohnt|erfolgte\s+an|demeure|faite\s+au|vive\s+en|en|address:|\)|,)\s*[,:]?\s*$", re.I
+    r"(?:address|anschrift|adresse|domicilio|resides\s+at|premises\s+at|posted\s+at|cover\s+page\s+to|wohnt|erfolgte\s+an|demeure|faite\s+au|vive\s+en|\)|,)\s*[,:]?\s*$", re.I
 )
 
+# Where to look: runs of digits, places of at signs and of postcodes.
+_DIGIT_RUN = re.compile(r"(?:\(?\+)?\(?\d(?:[\d\s()+.\-/‐-―]){7,}")
+_ID_RUN = re.compile(r"(?<![\w*.\-])[A-Z]{0,2}-?\d(?:[\dA-Z]|[\s.\-/‐-―]{1,2}(?=[\dA-Z])){5,}")
+_AT_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s+[\w\-]{1,64}\s+dot\s", re.I)
+_POSTCODE = re.compile(r"(?<!\d)\d{5}(?!\d)")
+
+
+def _ends(pattern: re.Pattern, text: str) -> set[int]:
+    return {m.end() for m in pattern.finditer(text)}
+
+
+def _follows(pattern: re.Pattern, text: str, at: int) -> bool:
+    """Does a match of the pattern end right here?"""
+    return any(m.end() == at for m in pattern.finditer(text, max(0, at - 60), at))
+
+
+def _windows(places: list[int], before: int, after: int, size: int) -> list[tuple[int, int]]:
+    """Stretches around places, those that touch joined."""
+    out: list[tuple[int, int]] = []
+    for at in places:
+        low, high = max(0, at - before), min(size, at + after)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
 
 @dataclass
 class Candidate:
@@ -212,89 +239,110 @@ class Finder:
 
     def _emails(self, text: str) -> list[Candidate]:
         out = []
-        low = text.lower()
-        if "@" not in text and "at" not in low:
-            return out
-        for m in EMAIL.finditer(text):
-            tld = re.search(r"[a-zA-Z]+$", m[0])
-            out.append(Candidate("email", m.start(), m.end(), (1, 1 if tld and len(tld[0]) > 1 else 0, -1 if "@" in m[0] or "dot" in m[0].lower() else 1)))
+        for low, high in _windows([m.start() for m in _AT_SIGN.finditer(text)], 130, 330, len(text)):
+            for m in EMAIL.finditer(text, low, high):
+                tld = re.search(r"[a-zA-Z]+$", m[0])
+                votes = (1, 1 if tld and len(tld[0]) > 1 else 0, -1 if "@" in m[0] or "dot" in m[0].lower() else 1)
+                out.append(Candidate("email", m.start(), m.end(), votes))
         return out
 
     def _phones(self, text: str) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
         starts = set()
-        for form, pattern in PHONES.items():
-            for m in pattern.finditer(text):
-                if _even(form, m) and not (form == "international" and m.start() in starts):
-                    found.setdefault((m.start(), m.end()), form)
-                    starts.add(m.start())
+        for run in _DIGIT_RUN.finditer(text):
+            if sum(map(str.isdigit, run[0])) < 9:
+                continue
+            for form, pattern in PHONES.items():
+                for m in pattern.finditer(text, run.start(), min(len(text), run.end() + 2)):
+                    if _even(form, m) and not (form == "international" and m.start() in starts):
+                        found.setdefault((m.start(), m.end()), form)
+                        starts.add(m.start())
         out = []
         for (a, b), form in found.items():
             digits = sum(ch.isdigit() for ch in text[a:b])
             if digits < 9:
                 continue
-            before, after = text[max(0, a - 40) : a], text[b : b + 20]
-            cue = 1 if PHONE_BEFORE.search(before) else -1
-            own = 1 if LINE_START.search(before) and LINE_END.match(after) else -1
-            other = 0 if OTHER_NUMBER.search(before) or ID_BEFORE.search(before) else -1
+            own = 1 if LINE_START.search(text[max(0, a - 40) : a]) and LINE_END.match(text, b) else -1
             bare = text[a:b].isdigit()
             strong = form != "german" and not (bare and digits == 9) or form == "german" and text[a:b].startswith(("+49", "0049"))
-            out.append(
-                Candidate("phone", a, b, (cue, own, 1 if strong else -1, other, 0 if digits > 15 else -1), [feature(f"phone:form:{form}")])
-            )
+            other = _follows(OTHER_NUMBER, text, a) or _follows(ID_BEFORE, text, a)
+            votes = (1 if _follows(PHONE_BEFORE, text, a) else -1, own, 1 if strong else -1, 0 if other else -1, 0 if digits > 15 else -1)
+            out.append(Candidate("phone", a, b, votes, [feature(f"phone:form:{form}")]))
         return out
 
     def _ids(self, text: str) -> list[Candidate]:
+        runs = [m for m in _ID_RUN.finditer(text) if sum(map(str.isdigit, m[0])) >= 6]
         found: dict[tuple[int, int], str] = {}
-        for form, pattern in IDS.items():
-            for m in pattern.finditer(text):
-                if _even(form, m):
-                    found.setdefault((m.start(), m.end()), form)
+        for run in runs:
+            for form, pattern in IDS.items():
+                for m in pattern.finditer(text, run.start(), min(len(text), run.end() + 2)):
+                    if _even(form, m):
+                        found.setdefault((m.start(), m.end()), form)
         out = []
         for (a, b), form in found.items():
-            before = text[max(0, a - 60) : a]
-            cue = 1 if ID_BEFORE.search(before) else -1
+            cue = 1 if _follows(ID_BEFORE, text, a) else -1
             if form == "other" and cue < 0:
                 continue
-            other = 0 if OTHER_NUMBER.search(before) and cue < 0 else -1
+            other = 0 if cue < 0 and _follows(OTHER_NUMBER, text, a) else -1
             unlabelled = 0 if cue < 0 else -1
             out.append(Candidate("id_number", a, b, (cue, 1 if form != "other" else -1, other, unlabelled), [feature(f"id:form:{form}")]))
         return out
 
     def _addresses(self, text: str) -> list[Candidate]:
+        found: dict[tuple[int, int], str] = {}
+        for low, high in _windows([m.start() for m in _POSTCODE.finditer(text)], 160, 80, len(text)):
+            for form, pattern in ADDRESSES.items():
+                for m in pattern.finditer(text, low, high):
+                    found.setdefault(m.span(), form)
         out = []
-        for form, pattern in ADDRESSES.items():
-            for m in pattern.finditer(text):
-                cue = 1 if STREET_BEFORE.search(text[max(0, m.start() - 30) : m.start()]) or LINE_START.search(text[max(0, m.start() - 5) : m.start()]) else -1
-                out.append(Candidate("address", m.start(), m.end(), (cue, 1, 1), [feature(f"address:form:{form}")]))
+        for (a, b), form in found.items():
+            cue = STREET_BEFORE.search(text[max(0, a - 30) : a]) or LINE_START.search(text[max(0, a - 5) : a])
+            out.append(Candidate("address", a, b, (1 if cue else -1, 1, 1), [feature(f"address:form:{form}")]))
         return out
 
     def _names(self, text: str) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for form, pattern in (("full", FULL_NAME), ("reversed", REVERSED), ("titled", TITLED)):
+        cues = _ends(NAME_BEFORE, text)
+        for m in FULL_NAME.finditer(text):
+            a, b = m.span(1)
+            first = text[a:b].split(None, 1)[0].lower()
+            # Most pairs of capitalised words have nothing that speaks for a name.
+            if first in self.given or a in cues or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b):
+                found[a, b] = "full"
+        for form, pattern in (("reversed", REVERSED), ("titled", TITLED)):
             for m in pattern.finditer(text):
                 found.setdefault(m.span(1), form)
-        for m in _SMALL_PLACES.finditer(text):
-            found.setdefault(m.span(1), "small")
-        return [c for (a, b), form in found.items() if (c := self._name(text, a, b, form))]
+        if "his is" in text or "name is" in text or "--" in text:
+            for m in _SMALL_PLACES.finditer(text):
+                found.setdefault(m.span(1), "small")
+        return [c for (a, b), form in found.items() if (c := self._name(text, a, b, form, cues))]
 
-    def _name(self, text: str, a: int, b: int, form: str) -> Candidate | None:
+    def _name(self, text: str, a: int, b: int, form: str, cues: set[int]) -> Candidate | None:
         words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
         plain = [w for w in words if not w.endswith(".")]
         names = [w.lower() for w in plain if w not in _PARTICLES]
-        before, after = text[max(0, a - 230) : a], text[b : b + 60]
         if not names or (form != "titled" and _TITLE.fullmatch(words[0]) and not (words[0].endswith(".") and len(words) > 2)):
             return None
-        if words[0] in _PARTICLES and NAME_BEFORE.search(before[-60:] + words[0]):
-            return None  # the particle is the cue's preposition
-        cue = form in ("titled", "small") or NAME_BEFORE.search(before[-60:]) or SIGNATURE_BEFORE.search(before[-12:]) or NAME_LIST.search(before)
-        cue = cue or (NAME_OPENING.search(before[-8:]) and re.match(r"\s+explained", after))
-        cue_after = NAME_AFTER.match(after) or (NAME_NEXT_IN_LIST.match(after) and "itness list" in before)
         first, last = (names[-1], names[0]) if form == "reversed" else (names[0], names[-1])
         initials = form != "titled" and len(words) > len(plain) and len(names) == 1
         given = form != "titled" and first in self.given
-        family = any(p in self.family for p in [last, *last.split("-")])
-        org = form != "small" and (ORGANISATION_AFTER.match(after) or CAPTION.search(before[-25:]) or any(w in STRONG_ORGANISATION for w in plain))
+        family = last in self.family or any(p in self.family for p in last.split("-"))
+        after = text[b : b + 60]
+        cue = form in ("titled", "small") or a in cues
+        cue_after = NAME_AFTER.match(after) is not None
+        if cue_after and not (given or family) and after.lstrip(" \t").startswith(("\n", "\r")):
+            cue_after = False
+        if not (cue and cue_after):
+            before = text[max(0, a - 230) : a]
+            cue = cue or SIGNATURE_BEFORE.search(before[-12:]) or (before.endswith("; ") and NAME_LIST.search(before))
+            cue = cue or (NAME_OPENING.search(before[-8:]) and re.match(r"\s+explained", after))
+            cue_after = cue_after or (after.lstrip().startswith(";") and NAME_NEXT_IN_LIST.match(after) and "itness list" in before)
+        if not (cue or cue_after or given or (initials and family)):
+            return None
+        if words[0] in _PARTICLES and any(a + len(words[0]) < x <= b and text[a + len(words[0]) : x].isspace() for x in cues):
+            return None  # the particle is the cue's preposition
+        before = text[max(0, a - 25) : a]
+        org = form != "small" and (ORGANISATION_AFTER.match(after) or CAPTION.search(before) or any(w in STRONG_ORGANISATION for w in plain))
         bad = any(w in NOT_NAMES and w not in self.given and w not in self.family for w in names)
         bad = bad or (form != "titled" and names[0] in NOT_NAMES and not (cue and len(names) > 1))
         if not (cue or cue_after or (given and not bad) or (initials and family)):
