@@ -29,6 +29,8 @@ DEFAULT_SCOPE = {
 #: Bounds of what the driver holds: the catalogue, and the alias table (names seen for catalogued fields).
 MAX_CATALOG_FIELDS = 100_000
 MAX_ALIASES = 100_000
+#: Files that one row of the lifespan catalogue lists.
+ISLAND_FILES = 1000
 _ALIAS_DEPTH = 3  # how deep below a known object a moved field is looked for
 
 
@@ -254,8 +256,7 @@ class SpecDrift:
 
         Islands are counted within a day of a producer's field, so that no task
         has to order all rows of a busy producer; ``lifespans`` joins those of
-        successive days. ``starts`` marks rows whose shape differs from the
-        producer's row before.
+        successive days. ``place`` is the row's number within the day.
         """
         rows = self.footers().select("file_id", "spec_kind", "producer", "received_at", F.inline("states"))
         rows = rows.withColumn("shape", F.concat_ws(":", "state", "json_type", "alias_path")).withColumn(
@@ -263,28 +264,19 @@ class SpecDrift:
         )
         by = Window.partitionBy("spec_kind", "producer", "field_path", "day").orderBy("received_at", "file_id")
         changed = ~F.col("shape").eqNullSafe(F.lag("shape").over(by))
-        return rows.withColumn("starts", changed).withColumn("island", F.sum(F.col("starts").cast("int")).over(by))
+        rows = rows.withColumn("place", F.row_number().over(by)).withColumn("starts", changed)
+        return rows.withColumn("island", F.sum(F.col("starts").cast("int")).over(by))
 
-    def changes(self) -> DataFrame:
-        """Every change of every file: file_id, spec_kind, field_path, change_kind, json_type, alias_path, received_at, starts.
+    def islands(self) -> DataFrame:
+        """The lifespan catalogue by day: a producer's field in one shape, with the files that hold it.
 
-        ``change_kind`` is removed, renamed, retyped or added. Distinct rows.
+        An island of more than ``ISLAND_FILES`` files has several rows, told
+        apart by ``part``. It needs no shuffle beyond the timeline's.
         """
-        rows = self.timeline().filter(F.col("state").isin("removed", "renamed", "retyped", "added"))
-        return rows.select(
-            "file_id", "spec_kind", "field_path", F.col("state").alias("change_kind"), "json_type", "alias_path", "received_at", "starts"
-        )
-
-    def lifespans(self) -> DataFrame:
-        """Islands of each producer's field in one shape, over all days.
-
-        Columns: spec_kind, producer, field_path, state, json_type, alias_path,
-        started_at, last_at, ended_at (when the next shape was first seen, null
-        if none was), n_files.
-        """
-        daily = (
+        part = F.floor((F.col("place") - 1) / ISLAND_FILES).alias("part")
+        return (
             self.timeline()
-            .groupBy("spec_kind", "producer", "field_path", "day", "island")
+            .groupBy("spec_kind", "producer", "field_path", "day", "island", part)
             .agg(
                 F.first("shape").alias("shape"),
                 F.first("state").alias("state"),
@@ -293,11 +285,30 @@ class SpecDrift:
                 F.min("received_at").alias("started_at"),
                 F.max("received_at").alias("last_at"),
                 F.count("*").alias("n_files"),
+                F.collect_list(F.struct("file_id")).alias("files"),
             )
         )
-        by = Window.partitionBy("spec_kind", "producer", "field_path").orderBy("day", "island")
+
+    def changes(self) -> DataFrame:
+        """Every change of every file: file_id, spec_kind, field_path, change_kind, json_type, alias_path, started_at.
+
+        The files of the islands in a changed shape; ``change_kind`` is removed,
+        renamed, retyped or added, ``started_at`` the island's start that day.
+        """
+        rows = self.islands().filter(F.col("state").isin("removed", "renamed", "retyped", "added"))
+        kept = ["spec_kind", "field_path", F.col("state").alias("change_kind"), "json_type", "alias_path", "started_at"]
+        return rows.select(F.inline("files"), *kept)
+
+    def lifespans(self) -> DataFrame:
+        """Islands of each producer's field in one shape, over all days.
+
+        Columns: spec_kind, producer, field_path, state, json_type, alias_path,
+        started_at, last_at, ended_at (when the next shape was first seen, null
+        if none was), n_files.
+        """
+        by = Window.partitionBy("spec_kind", "producer", "field_path").orderBy("day", "island", "part")
         changed = ~F.col("shape").eqNullSafe(F.lag("shape").over(by))
-        joined = daily.withColumn("run", F.sum(changed.cast("int")).over(by))
+        joined = self.islands().drop("files").withColumn("run", F.sum(changed.cast("int")).over(by))
         whole = joined.groupBy("spec_kind", "producer", "field_path", "run").agg(
             F.first("state").alias("state"),
             F.first("json_type").alias("json_type"),
