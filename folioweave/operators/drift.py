@@ -262,10 +262,11 @@ class SpecDrift:
         rows = rows.withColumn("shape", F.concat_ws(":", "state", "json_type", "alias_path")).withColumn(
             "day", F.to_date("received_at")
         )
-        by = Window.partitionBy("spec_kind", "producer", "field_path", "day").orderBy("received_at", "file_id")
+        by = Window.partitionBy("spec_kind", "producer", "field_path", "day").orderBy("received_at", "file_id", "shape")
         changed = ~F.col("shape").eqNullSafe(F.lag("shape").over(by))
         rows = rows.withColumn("place", F.row_number().over(by)).withColumn("starts", changed)
-        return rows.withColumn("island", F.sum(F.col("starts").cast("int")).over(by))
+        # By rows: files that arrived together are peers, and would share a sum by range.
+        return rows.withColumn("island", F.sum(F.col("starts").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
     def islands(self) -> DataFrame:
         """The lifespan catalogue by day: a producer's field in one shape, with the files that hold it.
@@ -308,7 +309,7 @@ class SpecDrift:
         """
         by = Window.partitionBy("spec_kind", "producer", "field_path").orderBy("day", "island", "part")
         changed = ~F.col("shape").eqNullSafe(F.lag("shape").over(by))
-        joined = self.islands().drop("files").withColumn("run", F.sum(changed.cast("int")).over(by))
+        joined = self.islands().drop("files").withColumn("run", F.sum(changed.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
         whole = joined.groupBy("spec_kind", "producer", "field_path", "run").agg(
             F.first("state").alias("state"),
             F.first("json_type").alias("json_type"),
