@@ -32,14 +32,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _ROW = pa.schema(
     [
         ("key", pa.string()),  # the word, or the block's name for the block's own row
-        ("block", pa.string()),
+        ("block", pa.int64()),
         ("word_no", pa.int32()),  # null for the block's own row
-        ("doc_ids", pa.list_(pa.int64())),
-        ("lengths", pa.list_(pa.int32())),
-        ("sequence", pa.binary()),
+        ("payload", pa.binary()),  # of the block's own row: its documents and their words' numbers
     ]
 )
-_ROW_DDL = "key STRING, block STRING, word_no INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<INT>, sequence BINARY"
+_ROW_DDL = "key STRING, block BIGINT, word_no INT, payload BINARY"
 
 
 def ranks(path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> dict[bytes, int]:
@@ -55,19 +53,28 @@ def word_encoder(path: str = TOKENIZERS, vocabulary: str = VOCABULARY):  # noqa:
     return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks(path, vocabulary), special_tokens={})
 
 
-def _block(name: str, doc_ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+def _head(doc_ids: list[int | None], lengths: list[int], sequence: np.ndarray) -> bytes:
+    known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
+    ids = np.array([i or 0 for i in doc_ids], dtype=np.int64)
+    size = np.array([len(doc_ids), sequence.itemsize], dtype=np.int64)
+    return b"".join(x.tobytes() for x in (size, ids, np.array(lengths, dtype=np.int32), known, sequence))
+
+
+def _read_head(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    n, width = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    ids, at = np.frombuffer(raw, np.int64, n, 16), 16 + 8 * n
+    lengths, at = np.frombuffer(raw, np.int32, n, at), at + 4 * n
+    known, at = np.frombuffer(raw, np.uint8, n, at), at + n
+    sequence = np.frombuffer(raw[at:], np.uint16 if width == 2 else np.uint32)
+    return pa.array(ids, pa.int64(), mask=known == 0), lengths, sequence
+
+
+def _block(block: int, doc_ids: list, texts: list[list[str]]) -> pa.RecordBatch:
     number: dict[str, int] = {}
     sequence = [number.setdefault(w, len(number)) for words in texts for w in words]
-    kind = np.uint16 if len(number) <= 2**16 else np.uint32
     n = len(number)
-    columns = [
-        [name, *number],
-        [name] * (n + 1),
-        [None, *range(n)],
-        [doc_ids] + [None] * n,
-        [[len(words) for words in texts]] + [None] * n,
-        [np.array(sequence, dtype=kind).tobytes()] + [None] * n,
-    ]
+    head = _head(doc_ids, [len(words) for words in texts], np.array(sequence, dtype=np.uint16 if n <= 2**16 else np.uint32))
+    columns = [[f"\0{block}", *number], [block] * (n + 1), [None, *range(n)], [head] + [None] * n]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
 
 
@@ -75,76 +82,64 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     import regex
 
     split = regex.compile(PATTERN).findall
-    part, n_blocks, size, ids, texts = TaskContext.get().partitionId(), 0, 0, [], []
+    block, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(split(text) if text else [])
             size += len(text or "")
             if size >= BLOCK_CHARS:
-                yield _block(f"\0{part}-{n_blocks}", ids, texts)
-                n_blocks, size, ids, texts = n_blocks + 1, 0, [], []
+                yield _block(block, ids, texts)
+                block, size, ids, texts = block + 1, 0, [], []
     if ids:
-        yield _block(f"\0{part}-{n_blocks}", ids, texts)
+        yield _block(block, ids, texts)
 
 
-_CODED = pa.schema([f for f in _ROW if f.name != "key"] + [("ids", pa.list_(pa.int32()))])
-_CODED_DDL = "block STRING, word_no INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<INT>, sequence BINARY, ids ARRAY<INT>"
+_CODED_DDL = "block BIGINT, word_no INT, payload BINARY"
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    """Ids of each row's word; rows come sorted by word, so that each is encoded once."""
-    encode, word, ids = word_encoder(path, vocabulary).encode_ordinary, None, None
+    """The ids of each row's word as its payload; rows come sorted by word, so that each is encoded once."""
+    encode, word, ids = word_encoder(path, vocabulary).encode_ordinary, None, b""
     for batch in batches:
         out = []
-        for key, number in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if number is None:
-                out.append(None)
-                continue
-            if key != word:
-                word, ids = key, encode(key)
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(1, 6)] + [pa.array(out, _CODED.field("ids").type)], schema=_CODED)
+        for key, own in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if own is None:
+                if key != word:
+                    word, ids = key, np.array(encode(key), dtype=np.int32).tobytes()
+                own = ids
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["block", "word_no", "payload"])
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _assembled(head: tuple[list, list, bytes], words: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-    doc_ids, lengths, raw = head
-    n = len(words)
-    sequence = np.frombuffer(raw, dtype=np.uint16 if n <= 2**16 else np.uint32)
-    parts: list[list[int]] = [[]] * n
-    for number, ids in words:
-        parts[number] = ids
-    width = np.fromiter(map(len, parts), dtype=np.int64, count=n)
-    start = np.concatenate([[0], np.cumsum(width)])
-    flat = np.fromiter((i for p in parts for i in p), dtype=np.int32, count=int(start[-1]))
+def _assembled(head: bytes, words: list[bytes]) -> pa.RecordBatch:
+    doc_ids, lengths, sequence = _read_head(head)
+    flat = np.frombuffer(b"".join(words), dtype=np.int32)
+    width = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) // 4
+    start = np.cumsum(width) - width
     # Each position's ids are a stretch of ``flat``; the stretches are laid out one after the other.
-    of_word = width[sequence] if n else np.zeros(0, dtype=np.int64)
+    of_word = width[sequence]
     ends = np.cumsum(of_word)
-    total = int(ends[-1]) if len(ends) else 0
-    shift = (start[:-1][sequence] - (ends - of_word)) if n else np.zeros(0, dtype=np.int64)
-    ids = flat[np.repeat(shift, of_word) + np.arange(total)]
-    at = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))])
+    ids = flat[np.repeat(start[sequence] - ends + of_word, of_word) + np.arange(of_word.sum())]
+    at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     offsets = np.concatenate([[0], ends])[at].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], schema=_IDS)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], schema=_IDS)
 
 
 def _assemble_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each block; rows come sorted by block."""
-    block, head, words = None, None, []
+    """Documents of each block; rows come sorted by block, its own row first, then its words by number."""
+    head, words = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != block:
+        for word_no, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if word_no is None:
                 if head is not None:
                     yield _assembled(head, words)
-                block, head, words = row[0], None, []
-            if row[1] is None:
-                head = row[2:5]
+                head, words = payload, []
             else:
-                words.append((row[1], row[5]))
+                words.append(payload)
     if head is not None:
         yield _assembled(head, words)
 
@@ -161,7 +156,7 @@ def encode_corpus(
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     words = docs.mapInArrow(_split_batches, _ROW_DDL).repartition("key").sortWithinPartitions("key")
     coded = words.mapInArrow(lambda b: _encode_batches(b, path, vocabulary), _CODED_DDL)
-    return coded.repartition("block").sortWithinPartitions("block").mapInArrow(_assemble_batches, "doc_id BIGINT, ids ARRAY<INT>")
+    return coded.repartition("block").sortWithinPartitions("block", "word_no").mapInArrow(_assemble_batches, "doc_id BIGINT, ids ARRAY<INT>")
 
 
 def token_table(spark: SparkSession, path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
