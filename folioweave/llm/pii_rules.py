@@ -24,7 +24,7 @@ _DOT = r"(?:\.|\s{0,2}[\[({<]\s?dot\s?[\])}>]\s{0,2}|\s+dot\s+)"
 _LABEL = r"[^\W_](?:[\w\-]{0,62}[^\W_])?"
 EMAIL = re.compile(
     rf"(?<![\w.+%\-@])(?:{_LOCAL}(?:\s{{0,2}}[\[({{<]\s?dot\s?[\])}}>]\s{{0,2}}{_LOCAL}){{0,3}}{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}[a-z]{{2,24}}"
-    rf"|{_LOCAL}(?:\s+dot\s+{_LOCAL}){{0,3}}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL}){{0,4}}\s+dot\s+[a-z]{{2,24}})(?![\w@])",
+    rf"|{_LOCAL}(?:\s+dot\s+{_LOCAL}){{0,3}}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL}){{0,4}}\s+dot\s+[a-z]{{2,24}})(?![\w@]|\s+(?:at|dot)\s+[\w\-]{{1,64}}\s+dot\s)",
     re.I,
 )
 
@@ -83,7 +83,7 @@ ADDRESSES = {
         rf"\s+\d{{1,4}}(?:\s?[a-z])?,\s+\d{{5}}\s+{_TOWN_EU}"
     ),
     "spanish": re.compile(
-        rf"(?<![\w\-/.])(?:Calle|C/|C\.|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Pº|Camino|Ronda|Travesía|Carretera|Ctra\.?)\s+[^\d\n;:]{{2,50}}?(?:\n[^\d\n;:]{{1,30}}?)?,?\s+(?:n\.?º\s*|núm\.?\s*)?\d{{1,4}}"
+        rf"(?<![\w\-/.])(?:Calle|C/|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Pº|Camino|Ronda|Travesía|Carretera|Ctra\.?)\s+[^\d\n;:]{{2,50}}?(?:\n[^\d\n;:]{{1,30}}?)?,?\s+(?:n\.?º\s*|núm\.?\s*)?\d{{1,4}}"
         rf"(?:,\s+(?:\d{{1,2}}\.?[ºª°]\s*\w{{0,4}}|bajo(?:\s\w)?|ático|entlo\.?|pral\.?|\w{{1,6}}))?,\s+\d{{5}}\s+{_TOWN_EU}"
     ),
 }
@@ -95,7 +95,7 @@ _FAMILY = rf"(?:{_PARTICLE}\s+)?{_WORD}(?:-{_WORD})*"
 _GIVEN = rf"(?:{_WORD}(?:-{_WORD})?|{_U}\.(?:\s?{_U}\.)?)(?:\s+{_U}\.)?"
 _GAP1 = r"(?:[^\S\n]*\n?[^\S\n]*(?<=\s))"
 FULL_NAME = re.compile(rf"(?<![\w'’@/\-])(?=({_GIVEN}{_GAP1}{_FAMILY})(?![\w@]))")
-REVERSED = re.compile(rf"(?<![\w'’@/\-])(?=({_FAMILY},[^\S\n]?\n?{_WORD}(?:-{_WORD})?(?:\s+{_U}\.)?)(?![\w@]))")
+REVERSED = re.compile(rf"(?<![\w'’@/\-])(?=({_FAMILY},[^\S\n]?\n?{_WORD}(?:-{_WORD})?(?:[^\S\n]+{_U}\.)?)(?![\w@]))")
 _SMALL = rf"{_L}+(?:['’\-]{_L}+)*"
 SMALL_NAME = rf"{_SMALL}(?:\s+{_L}\.)?\s+(?:{_PARTICLE}\s+)?{_SMALL}"
 
