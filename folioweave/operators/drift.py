@@ -10,7 +10,7 @@ the consistent table are generated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -355,18 +355,33 @@ class SpecDrift:
             alias.setdefault(r.field_path, []).append(r.alias_path)
         cat = self.catalogs[spec_kind]
         files = latest(self.files.filter(F.col("spec_kind") == spec_kind), "file_id")
-        top = F.from_json("raw_json", "MAP<STRING, STRING>")
-        files = files.withColumn("_top", top).filter("_top IS NOT NULL")
-        columns = [cast_expression(path, cat, alias).alias(path) for path in cat.children[""]]
+        files, at = _opened(files, [p for p in cat.types if "[]" not in p], alias)
+        columns = [cast_expression(path, cat, alias, at).alias(path) for path in cat.children[""]]
         return files.select("file_id", "producer", "received_at", *columns)
 
 
-def _at(path: str) -> Column:
-    """Text of a field by its path, case and all; null where it is missing or null."""
-    col = F.col("_top")
-    for i, name in enumerate(path.split(".")):
-        col = col[F.lit(name)] if i == 0 else F.from_json(col, "MAP<STRING, STRING>")[F.lit(name)]
-    return col
+def _opened(files: DataFrame, paths: list[str], alias: dict[str, list[str]]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """The readable files with a map column for every object that fields are looked up in, each parsed once.
+
+    The second result gives the text of a field by its path, case and all; null
+    where it is missing or null.
+    """
+    looked_up = set(paths) | {a for found in alias.values() for a in found}
+    looked_up |= {f"{a}.{p.rpartition('.')[2]}" for path, found in alias.items() for a in found for p in paths if p.startswith(f"{path}.")}
+    objects = {p.rpartition(".")[0] for p in looked_up} - {""}
+    for path in list(objects):
+        objects |= {path[:i] for i, c in enumerate(path) if c == "."}
+    names = {"": "_o"} | {p: f"_o{i}" for i, p in enumerate(sorted(objects, key=lambda p: (p.count("."), p)))}
+
+    def at(path: str) -> Column:
+        parent, _, name = path.rpartition(".")
+        return F.col(names[parent])[F.lit(name)]
+
+    files = files.withColumn("_o", F.from_json("raw_json", "MAP<STRING, STRING>")).filter("_o IS NOT NULL")
+    depth = {p: p.count(".") for p in objects}
+    for level in sorted(set(depth.values())):
+        files = files.withColumns({names[p]: F.from_json(at(p), "MAP<STRING, STRING>") for p in objects if depth[p] == level})
+    return files, at
 
 
 def _number(text: Column) -> Column:
@@ -392,25 +407,23 @@ def _struct(paths: list[str], cat: Catalog) -> str:
     return f"STRUCT<{', '.join(f'`{_last(p)}`: {ddl(p, cat)}' for p in paths)}>"
 
 
-def cast_expression(path: str, cat: Catalog, alias: dict[str, list[str]]) -> Column:
+def cast_expression(path: str, cat: Catalog, alias: dict[str, list[str]], at: Callable[[str], Column]) -> Column:
     """Column of a catalogued field: its own text, else the first alias that has any, cast to its type."""
-    own = [_at(p) for p in [path, *alias.get(path, [])]]
+    moved = alias.get(path, [])
+    text = F.coalesce(*[at(p) for p in [path, *moved]])
     children = cat.children.get(path, [])
-    if cat.types[path] == "object" and children:
-        if {_last(c) for c in children} >= {"value", "confidence"}:
-            return _wrapped(F.coalesce(*own), path, cat)
-        moved = [p for p in alias.get(path, [])]
+    t = cat.types[path]
+    if t == "object" and children:
+        if _is_wrapped(path, cat):
+            return _wrapped(text, path, cat)
         inner = {c: alias.get(c, []) + [f"{p}.{_last(c)}" for p in moved] for c in children}
-        listed = F.coalesce(*own)  # fields given as a list of named objects or as name=value text
         parts = []
         for c in children:
-            part = cast_expression(c, cat, alias | inner)
-            if {_last(g) for g in cat.children.get(c, [])} >= {"value", "confidence"}:
-                part = F.coalesce(part, _wrapped(_listed(listed, _last(c)), c, cat))
+            part = cast_expression(c, cat, alias | inner, at)
+            if _is_wrapped(c, cat):  # the fields may also be given as a list of named objects or as name=value text
+                part = F.coalesce(part, _wrapped(_listed(text, _last(c)), c, cat))
             parts.append(part.alias(_last(c)))
         return F.struct(*parts)
-    text = F.coalesce(*own)
-    t = cat.types[path]
     if t == "string":
         numbers = F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
         return F.when(F.ltrim(text).rlike(r"^[\[{]"), F.array_join(numbers, ".")).otherwise(text)
@@ -423,6 +436,10 @@ def cast_expression(path: str, cat: Catalog, alias: dict[str, list[str]]) -> Col
     return F.from_json(text, ddl(path, cat))
 
 
+def _is_wrapped(path: str, cat: Catalog) -> bool:
+    return {_last(c) for c in cat.children.get(path, [])} >= {"value", "confidence"}
+
+
 def _listed(text: Column, name: str) -> Column:
     """A named part of a container written as a JSON list, as JSON in a string or as name=value text."""
     items = F.from_json(text, "ARRAY<STRING>")
