@@ -163,6 +163,15 @@ STREET_BEFORE = re.compile(
     r"(?:address|anschrift|adresse|domicilio|resides\s+at|premises\s+at|posted\s+at|cover\s+page\s+to|wohnt|erfolgte\s+an|demeure|faite\s+au|vive\s+en|\)|,)\s*[,:]?\s*$", re.I
 )
 
+EMAIL_BEFORE = re.compile(
+    r"(?<!\w)(?:e-?mail|mailto|contact|contact\W{1,4}|cc|write\s+to|copy\s+to|copie\s+à|copia\s+sellada\s+a|abschrift\s+an|replies\s+go\s+to|accepted\s+at|logged\s+in\s+as|user\s?=|écrire\s+à|consultas\s+a|rückfragen\s+an|anmeldung\s+mit)\s*[:<=\"'(]*\s*",
+    re.I,
+)
+# What has the look without the substance; such candidates teach what is none.
+_ROUGH_EMAIL = re.compile(r"(?<![\w.+%\-@])[\w.+%\-]{1,64}\s?@\s?\w[\w.\-]{0,63}\w")
+_MEASURE = re.compile(r"@\s?(?:\d+(?:[.,]\d+)?\s?(?:in|cm|mm|pt|px|%)?(?!\w)|commit\b|[0-9a-f]{7,40}(?!\w))")
+_ROUGH_ADDRESS = re.compile(rf"(?<![\w\-/.])\d{{1,6}}\s+(?:[\w'’\-]+\s+){{1,5}}?(?:{_STREETS})(?!\w)")
+
 # Where to look: runs of digits, places of at signs and of postcodes.
 _DIGIT_RUN = re.compile(r"(?:\(?\+)?\(?\d(?:[\d\s()+.\-/‐-―]){7,}")
 _ID_RUN = re.compile(r"(?<![\w*.\-])[A-Z]{0,2}-?\d(?:[\dA-Z]|[\s.\-/‐-―]{1,2}(?=[\dA-Z])){5,}")
@@ -204,10 +213,10 @@ class Candidate:
 
 #: Names of the votes of each type, in their order.
 LABELERS = {
-    "email": ["has_form", "known_tld_shape", "not_measure"],
+    "email": ["form", "at_sign", "cue_before", "measure"],
     "phone": ["cue_before", "own_line", "form", "other_label", "digits"],
-    "id_number": ["cue_before", "form", "other_label", "after_is_unit"],
-    "address": ["cue_before", "form", "has_postcode"],
+    "id_number": ["cue_before", "form", "other_label", "no_label"],
+    "address": ["form", "cue_before", "postcode"],
     "person_name": ["cue_before", "cue_after", "given_known", "family_known", "organisation", "not_a_name"],
 }
 FEATURE_BITS = 14
@@ -238,12 +247,21 @@ class Finder:
         return out
 
     def _emails(self, text: str) -> list[Candidate]:
-        out = []
+        found: dict[tuple[int, int], int] = {}
         for low, high in _windows([m.start() for m in _AT_SIGN.finditer(text)], 130, 330, len(text)):
             for m in EMAIL.finditer(text, low, high):
-                tld = re.search(r"[a-zA-Z]+$", m[0])
-                votes = (1, 1 if tld and len(tld[0]) > 1 else 0, -1 if "@" in m[0] or "dot" in m[0].lower() else 1)
-                out.append(Candidate("email", m.start(), m.end(), votes))
+                found[m.span()] = 1
+            for m in _ROUGH_EMAIL.finditer(text, low, high):
+                found.setdefault(m.span(), 0)
+        out = []
+        for (a, b), form in found.items():
+            votes = (
+                form,
+                1 if "@" in text[a:b] and " " not in text[a:b] else -1,
+                1 if _follows(EMAIL_BEFORE, text, a) else -1,
+                0 if _MEASURE.search(text, a, b) else -1,
+            )
+            out.append(Candidate("email", a, b, votes))
         return out
 
     def _phones(self, text: str) -> list[Candidate]:
@@ -294,10 +312,13 @@ class Finder:
             for form, pattern in ADDRESSES.items():
                 for m in pattern.finditer(text, low, high):
                     found.setdefault(m.span(), form)
+        for m in _ROUGH_ADDRESS.finditer(text):
+            found.setdefault(m.span(), "rough")
         out = []
         for (a, b), form in found.items():
+            full = form != "rough"
             cue = STREET_BEFORE.search(text[max(0, a - 30) : a]) or LINE_START.search(text[max(0, a - 5) : a])
-            out.append(Candidate("address", a, b, (1 if cue else -1, 1, 1), [feature(f"address:form:{form}")]))
+            out.append(Candidate("address", a, b, (int(full), 1 if cue else -1, int(full)), [feature(f"address:form:{form}")]))
         return out
 
     def _names(self, text: str) -> list[Candidate]:
