@@ -61,7 +61,8 @@ def term_frequencies(pairs: DataFrame) -> DataFrame:
     """How often each term occurs and in how many records: field_name, term, n_occurrences, n_records.
 
     ``pairs`` has field_name, term and record, one row an occurrence; rows with
-    a null in any of them don't count. Other columns are not looked at.
+    a null in any of them don't count, repeated rows count each, an empty table
+    gives no rows. Terms may be of any length. Other columns are not looked at.
     """
     keys = ["field_name", "term", "record"]
     rows = pairs.select(F.col("field_name").cast("string"), F.col("term").cast("string"), F.col("record").cast("string"))

@@ -108,15 +108,20 @@ def gazetteer(names: DataFrame) -> tuple[set[str], set[str]]:
 
 
 def propose(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidate spans of every document that has any: doc_id, spans."""
-    finder = Finder(*gazetteer(names))
+    """Candidate spans of every document that has any: doc_id, spans.
+
+    Null and empty texts have none. Texts are searched whole; rows that repeat,
+    and null ids, are documents of their own; other columns are not looked at.
+    A gazetteer without names leaves its labelers silent.
+    """
+    shipped = documents.sparkSession.sparkContext.broadcast(Finder(*gazetteer(names)))
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = finder.candidates(text)
+                found = shipped.value.candidates(text)
                 if found:
                     ids.append(doc_id)
                     spans.append([_row(text, c) for c in found])
@@ -199,15 +204,15 @@ def redact(documents: DataFrame, names: DataFrame, model: Model, id_col: str = "
     One row for each row of ``documents``; all else of a text is unchanged, null
     and empty texts too.
     """
-    finder = Finder(*gazetteer(names))
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped = documents.sparkSession.sparkContext.broadcast((Finder(*gazetteer(names)), model))
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, fitted = shipped.value
         for batch in batches:
             texts, counts = [], []
             for text in batch.column(1).to_pylist():
-                spans = choose([_row(text, c) for c in finder.candidates(text)], shipped.value) if text else []
+                spans = choose([_row(text, c) for c in finder.candidates(text)], fitted) if text else []
                 parts, at = [], 0
                 for s in spans:
                     parts += [text[at : s["start"]], PLACEHOLDERS[s["pii_type"]]]

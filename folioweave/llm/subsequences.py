@@ -110,7 +110,8 @@ def frequent_subsequences(sequences: DataFrame, least: int = 3, one_in: int = 10
     """Patterns contained, with gaps, in at least ``least`` and one in ``one_in`` sequences.
 
     ``sequences`` has field_name and items (an array of strings); null items
-    are left out, then sequences without items and null field names. Result:
+    are left out, then sequences without items and null field names; repeated
+    rows count each, and other columns are not looked at. Result:
     field_name, pattern (array), n_sequences, n_all; patterns of at least
     ``shortest`` items. At most ``one_in`` times the mean sequence's length of
     items can be frequent; the patterns themselves are held by the driver, as

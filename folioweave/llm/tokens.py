@@ -150,7 +150,9 @@ def encode_corpus(
     """Ids of every text, without special tokens: doc_id, ids.
 
     One row for each row of ``documents``, also for repeated rows and null ids;
-    a null or empty text has an empty list. ``path`` is the folder of the
+    a null or empty text has an empty list. Texts are encoded whole, a very long
+    one as a block of its own; no rows give none; other columns are not looked
+    at. ``path`` is the folder of the
     vocabulary's ``.tiktoken`` file, which every executor reads there.
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -171,7 +173,7 @@ def decode_corpus(encoded: DataFrame, path: str = TOKENIZERS, vocabulary: str =
     Ids meet the token-byte table in a join, once for each distinct id of a
     document. No ids give an empty text; bytes that are no UTF-8 give U+FFFD.
     """
-    table = token_table(encoded.sparkSession, path, vocabulary)
+    encoded, table = encoded.select("doc_id", "ids"), token_table(encoded.sparkSession, path, vocabulary)
     distinct = encoded.select("doc_id", F.explode(F.array_distinct("ids")).alias("id")).join(table, "id")
     known = distinct.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "hex"))).alias("known"))
     joined = encoded.join(known, "doc_id", "left")
