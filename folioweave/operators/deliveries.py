@@ -11,21 +11,30 @@ def latest(df: DataFrame, key: str, received: str = "received_at") -> DataFrame:
 
     Rows received together are told apart by a hash of all their columns, so
     the choice doesn't depend on the order of the rows. Rows with a null key
-    are kept once for each distinct content. Only the first row of a key in
+    are kept once for each distinct content. A null time is the earliest; no
+    rows give none; the columns may have any names. Only the first row of a key in
     each partition is shuffled (a window group limit), so a key that is
     delivered very often makes no hot task.
     """
-    content = F.xxhash64(*[_hashable(df, c) for c in df.columns])
-    first = Window.partitionBy(key, "_alone").orderBy(F.col(received).desc_nulls_last(), "_content")
+    content, alone, n = (_unused(df, c) for c in ("content", "alone", "n"))
+    first = Window.partitionBy(key, alone).orderBy(F.col(received).desc_nulls_last(), content)
     return (
-        df.withColumn("_content", content)
-        .withColumn("_alone", F.when(F.col(key).isNull(), F.col("_content")))
-        .withColumn("_n", F.row_number().over(first))
-        .filter("_n = 1")
-        .drop("_n", "_alone", "_content")
+        df.withColumn(content, F.xxhash64(*[_hashable(df, c) for c in df.columns]))
+        .withColumn(alone, F.when(F.col(key).isNull(), F.col(content)))
+        .withColumn(n, F.row_number().over(first))
+        .filter(F.col(n) == 1)
+        .drop(n, alone, content)
     )
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _hashable(df: DataFrame, name: str) -> "F.Column":
     """Maps can't be hashed, so a column that holds any goes in as JSON."""
     col = F.col(f"`{name}`")

@@ -228,7 +228,9 @@ class SpecDrift:
     this is made; everything else is lazy. Of a file delivered again the latest
     row counts. Null or unknown kinds, text that is not JSON and JSON that is
     no object have no fields and so no states; files without an id are told
-    apart by their content. Other columns of ``files`` are not looked at.
+    apart by their content. Files of a producer that arrive together are ordered
+    by id, then by shape. Texts are read whole, however long; no files give no
+    rows. Other columns of ``files``, whatever their names, are not looked at.
     """
 
     def __init__(self, files: DataFrame, catalog: DataFrame, producer: str = "court_code", scope: dict | None = None):

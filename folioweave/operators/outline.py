@@ -62,7 +62,8 @@ def suggest_outline(specs: DataFrame, argument_type: str | Column | None = None)
     component, description, pattern_type, section_type, argument_type,
     reasoning_flow, expected_citations; those of the other kind are null. A
     chosen pattern without components gives no rows; sections are used only
-    where a spec has no pattern. ``argument_type`` may be a column of the specs.
+    where a spec has no pattern. ``argument_type`` may be a column of the specs; null
+    and the empty string filter nothing. Repeated specs give repeated rows.
     """
     wanted = F.lit(argument_type) if isinstance(argument_type, str) else argument_type
     no_models = F.size("reasoning_models") == 0

@@ -123,7 +123,9 @@ def adjacency(files: DataFrame) -> DataFrame:
     """Adjacency rows of the files' nested parts: file_id, node, parent, label, ordinal, role, scalar.
 
     ``files`` has file_id, received_at and raw_json. Of a file delivered again
-    the latest row counts. Null, broken or non-object text gives no rows.
+    the latest row counts (of rows received together, one by content). Null,
+    empty, broken or non-object text gives no rows, nor does an empty table.
+    Texts are read whole; other columns, whatever their names, are not looked at.
     """
     one = latest(files.select("file_id", "received_at", "raw_json"), "file_id").select("file_id", "raw_json")
     text, integer = pa.string(), pa.int32()
