@@ -84,14 +84,17 @@ def cooccurrences(baskets: DataFrame, least: int = 1, one_in: int | None = None)
     """Pairs of items by the baskets that hold both.
 
     ``baskets`` has field_name and items (an array of strings); nulls and
-    repeats in it don't count, nor do null field names and empty baskets.
+    repeats in it don't count, nor do null field names and empty baskets;
+    repeated rows are baskets of their own, an empty table gives no pairs, and
+    other columns are not looked at.
     Result: field_name, item_a < item_b, n_ab, n_a, n_b, n (baskets with any
     item of the field), lift (n_ab * n / (n_a * n_b)) and pmi (its binary
     logarithm). Only pairs in at least ``least`` baskets and, if given, in at
     least one of ``one_in``. Items that are too rare for that by themselves are
     left out beforehand, which loses no such pair; at most ``one_in`` times the
-    mean basket's size of items can be frequent. Writes the baskets to the
-    checkpoint folder, and runs a query for the frequent items.
+    mean basket's size of items can be frequent. Writes the baskets and the
+    pairs' sums to the checkpoint folder, and runs queries for these and for
+    the frequent items.
     """
     items = F.array_distinct(F.array_compact(F.coalesce("items", F.array().cast("array<string>"))))
     baskets = baskets.select(F.col("field_name").cast("string").alias("field_name"), items.alias("items"))
@@ -104,7 +107,8 @@ def cooccurrences(baskets: DataFrame, least: int = 1, one_in: int | None = None)
         .groupBy("field_name", "item_a", "item_b")
         .agg(F.sum("n_ab").alias("n_ab"))
     )
-    counts = counts.filter(F.col("n_ab") >= least)
+    # The sums are used three times below; without a cut each use would multiply the blocks again.
+    counts = checkpoint(counts.filter(F.col("n_ab") >= least))
     own = counts.filter("item_a = item_b")
     a = own.select("field_name", "item_a", F.col("n_ab").alias("n_a"))
     b = own.select("field_name", F.col("item_b"), F.col("n_ab").alias("n_b"))
