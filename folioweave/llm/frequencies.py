@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.session import checkpoint
+
 _RUNS = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("n_occurrences", pa.int64()), ("n_records", pa.int64())])
 
 
@@ -73,6 +75,23 @@ def term_frequencies(pairs: DataFrame) -> DataFrame:
     )
 
 
+def record_terms(records: DataFrame) -> tuple[DataFrame, Column]:
+    """:func:`term_frequencies` of whole records, and the number of all records, as a column.
+
+    ``records`` has record and labels, an array of (field_name, terms); rows
+    with a null record don't count. Each record brings one more pair, of no field
+    and no term, so that its records are counted in the same pass. Writes the
+    counts to the checkpoint folder, as the number is taken from them.
+    """
+    kind = "ARRAY<STRUCT<field_name: STRING, terms: ARRAY<STRING>>>"
+    every = F.array(F.struct(F.lit("").alias("field_name"), F.array(F.lit("")).alias("terms"))).cast(kind)
+    labels = F.coalesce(F.col("labels").cast(kind), F.array().cast(kind))
+    pairs = records.select("record", F.inline(F.concat(every, labels)))
+    counts = checkpoint(term_frequencies(pairs.select("field_name", F.explode("terms").alias("term"), "record")))
+    n_all = counts.filter("field_name = '' AND term = ''").agg(F.coalesce(F.max("n_records"), F.lit(0))).scalar()
+    return counts.filter("field_name <> ''"), n_all
+
+
 def marked(
     counts: DataFrame, n_all: Column, least: int = 3, rare_one_in: int = 5000, common_percent: int = 40
 ) -> DataFrame:

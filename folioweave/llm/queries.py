@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm.frequencies import marked, term_frequencies
+from folioweave.llm.frequencies import marked, record_terms
 from folioweave.llm.packing import fill_report, pack
 from folioweave.llm.pairs import cooccurrences
 from folioweave.llm.pii import find_personal, fit, propose, redact
@@ -37,10 +37,7 @@ def _record() -> Column:
 def _label_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
     sections = F.col("argument_sections")
     labels = F.array(*[F.struct(F.lit(n).alias("field_name"), terms(sections[n]).alias("terms")) for n in LABELS])
-    specs = _specs(spark, sf, labels.alias("labels"))
-    pairs = specs.select(_record().alias("record"), F.inline("labels")).select("field_name", F.explode("terms").alias("term"), "record")
-    n_all = specs.select(_record().alias("r")).agg(F.countDistinct("r")).scalar()
-    return term_frequencies(pairs), n_all
+    return record_terms(_specs(spark, sf, labels.alias("labels")).select(_record().alias("record"), "labels"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

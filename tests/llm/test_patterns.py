@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioweave.llm import pairs as pairs_module
-from folioweave.llm.frequencies import marked, term_frequencies
+from folioweave.llm.frequencies import marked, record_terms, term_frequencies
 from folioweave.llm.pairs import cooccurrences, gram
 from folioweave.llm.subsequences import candidates, contained, frequent_subsequences, tree
 from folioweave.llm.terms import term, term_of, terms
@@ -59,6 +59,15 @@ def test_frequencies_of_nulls_empty_and_clashing(spark):
     assert term_frequencies(df.limit(0)).count() == 0
 
 
+def test_terms_of_records(spark):
+    rows = [("1", [("f", ["a", "a", "b"]), ("g", [None])]), ("2", [("f", ["a"]), ("g", None)]), ("3", []), ("4", None), (None, [("f", ["a"])])]
+    df = spark.createDataFrame(rows, "record STRING, labels ARRAY<STRUCT<field_name: STRING, terms: ARRAY<STRING>>>")
+    counts, n_all = record_terms(df)
+    got = {(r.field_name, r.term): (r.n_occurrences, r.n_records, r.n) for r in counts.withColumn("n", n_all).collect()}
+    assert got == {("f", "a"): (3, 2, 4), ("f", "b"): (1, 1, 4)}
+    assert record_terms(df.limit(0))[0].count() == 0
+
+
 def test_marks(spark):
     counts = spark.createDataFrame([("f", t, n, n) for t, n in (("a", 2), ("b", 3), ("c", 40), ("d", 41))], "field_name STRING, term STRING, n_occurrences LONG, n_records LONG")
     got = {r.term: r.mark for r in marked(counts, F.lit(100)).collect()}
