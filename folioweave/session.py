@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder, of ``spark.checkpoint.dir``; only where it is unset, a new one."""
+    """The shared checkpoint folder, which the session names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder that was set before is kept, and a session on a
+    single machine gets a new one; on a cluster it is an error, as a folder of
+    one machine is not there for the others.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
