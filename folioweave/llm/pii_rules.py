@@ -176,11 +176,18 @@ _ROUGH_ADDRESS = re.compile(rf"(?<![\w\-/.])\d{{1,6}}\s+(?:[\w'’\-]+\s+){{1,5}
 _DIGIT_RUN = re.compile(r"(?:\(?\+)?\(?\d(?:[\d\s()+.\-/‐-―]){7,}")
 _ID_RUN = re.compile(r"(?<![\w*.\-])[A-Z]{0,2}-?\d(?:[\dA-Z]|[\s.\-/‐-―]{1,2}(?=[\dA-Z])){5,}")
 _AT_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s+[\w\-]{1,64}\s+dot\s", re.I)
+_COMMA = re.compile(rf",[^\S\n]?\n?{_U}")
 _POSTCODE = re.compile(r"(?<!\d)\d{5}(?!\d)")
 
 
-def _ends(pattern: re.Pattern, text: str) -> set[int]:
-    return {m.end() for m in pattern.finditer(text)}
+# The last words of the cues before a name; a colon may end others.
+_CUE_ENDS = set("by von par por questioned is am unterschrieb declaración grüßen grüßen, submitted, sincerely, salutations. cordialement, atentamente, hochachtungsvoll hochachtungsvoll,".split())
+
+
+def _cued(text: str, at: int) -> bool:
+    """Does a cue for a name end right here?"""
+    last = text[max(0, at - 24) : at].split()[-1:]
+    return bool(last) and (last[0][-1] == ":" or last[0].lower() in _CUE_ENDS) and _follows(NAME_BEFORE, text, at)
 
 
 def _follows(pattern: re.Pattern, text: str, at: int) -> bool:
@@ -323,22 +330,23 @@ class Finder:
 
     def _names(self, text: str) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        cues = _ends(NAME_BEFORE, text)
         for m in FULL_NAME.finditer(text):
             a, b = m.span(1)
             first = text[a:b].split(None, 1)[0].lower()
             # Most pairs of capitalised words have nothing that speaks for a name.
-            if first in self.given or a in cues or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b):
+            if first in self.given or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b) or _cued(text, a):
                 found[a, b] = "full"
-        for form, pattern in (("reversed", REVERSED), ("titled", TITLED)):
-            for m in pattern.finditer(text):
-                found.setdefault(m.span(1), form)
+        for low, high in _windows([m.start() for m in _COMMA.finditer(text)], 60, 60, len(text)):
+            for m in REVERSED.finditer(text, low, high):
+                found.setdefault(m.span(1), "reversed")
+        for m in TITLED.finditer(text):
+            found.setdefault(m.span(1), "titled")
         if "his is" in text or "name is" in text or "--" in text:
             for m in _SMALL_PLACES.finditer(text):
                 found.setdefault(m.span(1), "small")
-        return [c for (a, b), form in found.items() if (c := self._name(text, a, b, form, cues))]
+        return [c for (a, b), form in found.items() if (c := self._name(text, a, b, form))]
 
-    def _name(self, text: str, a: int, b: int, form: str, cues: set[int]) -> Candidate | None:
+    def _name(self, text: str, a: int, b: int, form: str) -> Candidate | None:
         words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
         plain = [w for w in words if not w.endswith(".")]
         names = [w.lower() for w in plain if w not in _PARTICLES]
@@ -349,7 +357,7 @@ class Finder:
         given = form != "titled" and first in self.given
         family = last in self.family or any(p in self.family for p in last.split("-"))
         after = text[b : b + 60]
-        cue = form in ("titled", "small") or a in cues
+        cue = form in ("titled", "small") or _cued(text, a)
         cue_after = NAME_AFTER.match(after) is not None
         if cue_after and not (given or family) and after.lstrip(" \t").startswith(("\n", "\r")):
             cue_after = False
@@ -360,7 +368,7 @@ class Finder:
             cue_after = cue_after or (after.lstrip().startswith(";") and NAME_NEXT_IN_LIST.match(after) and "itness list" in before)
         if not (cue or cue_after or given or (initials and family)):
             return None
-        if words[0] in _PARTICLES and any(a + len(words[0]) < x <= b and text[a + len(words[0]) : x].isspace() for x in cues):
+        if words[0] in _PARTICLES and _cued(text, a + text[a:b].index(words[1])):
             return None  # the particle is the cue's preposition
         before = text[max(0, a - 25) : a]
         org = form != "small" and (ORGANISATION_AFTER.match(after) or CAPTION.search(before) or any(w in STRONG_ORGANISATION for w in plain))
