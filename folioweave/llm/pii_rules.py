@@ -172,12 +172,31 @@ _ROUGH_EMAIL = re.compile(r"(?<![\w.+%\-@])[\w.+%\-]{1,64}\s?@\s?\w[\w.\-]{0,63}
 _MEASURE = re.compile(r"@\s?(?:\d+(?:[.,]\d+)?\s?(?:in|cm|mm|pt|px|%)?(?!\w)|commit\b|[0-9a-f]{7,40}(?!\w))")
 _ROUGH_ADDRESS = re.compile(rf"(?<![\w\-/.])\d{{1,6}}\s+(?:[\w'’\-]+\s+){{1,5}}?(?:{_STREETS})(?!\w)")
 
-# Where to look: runs of digits, places of at signs and of postcodes.
-_DIGIT_RUN = re.compile(r"(?:\(?\+)?\(?\d(?:[\d\s()+.\-/‐-―]){7,}")
-_ID_RUN = re.compile(r"(?<![\w*.\-])[A-Z]{0,2}-?\d(?:[\dA-Z]|[\s.\-/‐-―]{1,2}(?=[\dA-Z])){5,}")
+# Where to look: groups of digits, at signs and capitals after commas.
+_GROUP = re.compile(r"\d+")
+_BETWEEN = " \t\r\n\u00a0()+.-/" + "".join(map(chr, range(0x2010, 0x2016)))
+_DATE = re.compile(r"\d{4}-\d\d-\d\d")
 _AT_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s+[\w\-]{1,64}\s+dot\s", re.I)
 _COMMA = re.compile(rf",[^\S\n]?\n?{_U}")
-_POSTCODE = re.compile(r"(?<!\d)\d{5}(?!\d)")
+
+
+def _digit_runs(text: str) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Runs of digit groups with only separators between, as (start, end, digits) of six digits or more, and the groups of five."""
+    runs, fives = [], []
+    start = end = n = 0
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        if b - a == 5:
+            fives.append(a)
+        if n and a - end < 6 and not text[end:a].strip(_BETWEEN):
+            end, n = b, n + b - a
+        else:
+            if n > 5:
+                runs.append((start, end, n))
+            start, end, n = a, b, b - a
+    if n > 5:
+        runs.append((start, end, n))
+    return [r for r in runs if not _DATE.fullmatch(text, r[0], r[1])], fives
 
 
 # The last words of the cues before a name; a colon may end others.
@@ -247,7 +266,8 @@ class Finder:
 
     def candidates(self, text: str) -> list[Candidate]:
         """All candidates of a text, in no order; spans may overlap."""
-        out = self._emails(text) + self._phones(text) + self._ids(text) + self._addresses(text) + self._names(text)
+        runs, fives = _digit_runs(text)
+        out = self._emails(text) + self._phones(text, runs) + self._ids(text, runs) + self._addresses(text, fives) + self._names(text)
         for c in out:
             votes = [f"{c.pii_type}:{n}:{v}" for n, v in zip(LABELERS[c.pii_type], c.votes, strict=True)]
             c.features += [feature(x) for x in [c.pii_type, *votes, *(f"{c.pii_type}:{w}" for w in _context(text, c.start, c.end))]]
@@ -271,14 +291,14 @@ class Finder:
             out.append(Candidate("email", a, b, votes))
         return out
 
-    def _phones(self, text: str) -> list[Candidate]:
+    def _phones(self, text: str, runs: list[tuple[int, int, int]]) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
         starts = set()
-        for run in _DIGIT_RUN.finditer(text):
-            if sum(map(str.isdigit, run[0])) < 9:
+        for low, high, n in runs:
+            if n < 9:
                 continue
             for form, pattern in PHONES.items():
-                for m in pattern.finditer(text, run.start(), min(len(text), run.end() + 2)):
+                for m in pattern.finditer(text, max(0, low - 3), min(len(text), high + 2)):
                     if _even(form, m) and not (form == "international" and m.start() in starts):
                         found.setdefault((m.start(), m.end()), form)
                         starts.add(m.start())
@@ -295,12 +315,11 @@ class Finder:
             out.append(Candidate("phone", a, b, votes, [feature(f"phone:form:{form}")]))
         return out
 
-    def _ids(self, text: str) -> list[Candidate]:
-        runs = [m for m in _ID_RUN.finditer(text) if sum(map(str.isdigit, m[0])) >= 6]
+    def _ids(self, text: str, runs: list[tuple[int, int, int]]) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for run in runs:
+        for low, high, _ in runs:
             for form, pattern in IDS.items():
-                for m in pattern.finditer(text, run.start(), min(len(text), run.end() + 2)):
+                for m in pattern.finditer(text, max(0, low - 3), min(len(text), high + 4)):
                     if _even(form, m):
                         found.setdefault((m.start(), m.end()), form)
         out = []
@@ -313,9 +332,9 @@ class Finder:
             out.append(Candidate("id_number", a, b, (cue, 1 if form != "other" else -1, other, unlabelled), [feature(f"id:form:{form}")]))
         return out
 
-    def _addresses(self, text: str) -> list[Candidate]:
+    def _addresses(self, text: str, postcodes: list[int]) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for low, high in _windows([m.start() for m in _POSTCODE.finditer(text)], 160, 80, len(text)):
+        for low, high in _windows(postcodes, 160, 80, len(text)):
             for form, pattern in ADDRESSES.items():
                 for m in pattern.finditer(text, low, high):
                     found.setdefault(m.span(), form)
