@@ -28,15 +28,15 @@ SAMPLE_SPANS = 20_000
 MAX_NAMES = 1_000_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON_NAME]"}
 
-_SPAN = "STRUCT<pii_type: STRING, start: INT, end: INT, pii_text: STRING, votes: ARRAY<INT>, features: ARRAY<INT>>"
+_SPAN = "STRUCT<pii_type: STRING, start: INT, end: INT, pii_text: STRING, votes: BINARY, features: BINARY>"
 _SPAN_ARROW = pa.struct(
     [
         ("pii_type", pa.string()),
         ("start", pa.int32()),
         ("end", pa.int32()),
         ("pii_text", pa.string()),
-        ("votes", pa.list_(pa.int32())),
-        ("features", pa.list_(pa.int32())),
+        ("votes", pa.binary()),  # a byte each, one more than the vote
+        ("features", pa.binary()),  # two bytes each
     ]
 )
 
@@ -79,13 +79,13 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return theta, float(prior), q
 
 
-def train(features: list[list[int]], labels: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
+def train(features: list[np.ndarray] | list[list[int]], labels: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic regression on sets of hashed features with soft labels (Adagrad, full batches)."""
     weights = np.zeros(1 << FEATURE_BITS)
     if not features:
         return weights
     lengths = np.fromiter(map(len, features), dtype=np.int64, count=len(features))
-    flat = np.fromiter((f for row in features for f in row), dtype=np.int64, count=int(lengths.sum()))
+    flat = np.concatenate(features).astype(np.int64)
     row = np.repeat(np.arange(len(features)), lengths)
     square = np.full_like(weights, 1e-8)
     for _ in range(rounds):
@@ -131,7 +131,8 @@ def propose(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text
 
 
 def _row(text: str, c: Candidate) -> dict:
-    return {"pii_type": c.pii_type, "start": c.start, "end": c.end, "pii_text": text[c.start : c.end], "votes": list(c.votes), "features": c.features}
+    votes, features = bytes(v + 1 for v in c.votes), np.array(c.features, dtype=np.uint16).tobytes()
+    return {"pii_type": c.pii_type, "start": c.start, "end": c.end, "pii_text": text[c.start : c.end], "votes": votes, "features": features}
 
 
 def fit(proposed: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Model:
@@ -144,10 +145,10 @@ def fit(proposed: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Model:
     patterns = spans.groupBy("pii_type", "votes").agg(F.count("*").alias("n")).collect()  # at most 3**labelers a type
     prior, reliability, likelihood = {}, {}, {}
     for t in TYPES:
-        rows = sorted((tuple(r.votes), r.n) for r in patterns if r.pii_type == t)
+        rows = sorted((bytes(r.votes), r.n) for r in patterns if r.pii_type == t)
         if not rows:
             continue
-        votes, counts = np.array([v for v, _ in rows]), np.array([n for _, n in rows], dtype=float)
+        votes, counts = np.array([list(v) for v, _ in rows]) - 1, np.array([n for _, n in rows], dtype=float)
         reliability[t], prior[t], q = expectation_maximisation(votes, counts)
         likelihood |= {(t, v): p for (v, _), p in zip(rows, q, strict=True)}
     features, labels = [], []
@@ -155,8 +156,8 @@ def fit(proposed: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Model:
         order = [F.xxhash64("doc_id", "start", "end"), F.col("start"), F.col("end")]
         drawn = spans.filter(F.col("pii_type") == t).orderBy(*order).limit(sample_spans).select("votes", "features")
         for r in drawn.collect():  # at most ``sample_spans`` rows
-            features.append(r.features)
-            labels.append(likelihood[(t, tuple(r.votes))])
+            features.append(np.frombuffer(r.features, np.uint16))
+            labels.append(likelihood[(t, bytes(r.votes))])
     return Model(prior, reliability, train(features, np.array(labels)))
 
 
@@ -168,8 +169,8 @@ def choose(spans: list[dict], model: Model, threshold: float = 0.5) -> list[dict
     """
     if not spans:
         return []
-    lengths = [len(s["features"]) for s in spans]
-    sums = np.add.reduceat(model.weights[np.concatenate([s["features"] for s in spans])], np.cumsum([0, *lengths[:-1]]))
+    starts = np.cumsum([0, *(len(s["features"]) // 2 for s in spans[:-1])])
+    sums = np.add.reduceat(model.weights[np.frombuffer(b"".join(s["features"] for s in spans), np.uint16)], starts)
     scored = [(s, p) for s, p in zip(spans, 1 / (1 + np.exp(-sums)), strict=True) if p > threshold]
     scored.sort(key=lambda x: (-round(x[1], 1), x[0]["start"] - x[0]["end"], x[0]["start"], x[0]["pii_type"]))
     taken: list[dict] = []
