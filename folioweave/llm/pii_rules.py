@@ -94,13 +94,18 @@ _WORD = rf"(?:{_U}\w+|{_U}['’]{_U}\w+)(?:['’]{_U}\w+)?"
 _FAMILY = rf"(?:{_PARTICLE}\s+)?{_WORD}(?:-{_WORD})*"
 _GIVEN = rf"(?:{_WORD}(?:-{_WORD})?|{_U}\.(?:\s?{_U}\.)?)(?:\s+{_U}\.)?"
 _GAP1 = r"(?:[^\S\n]*\n?[^\S\n]*(?<=\s))"
-FULL_NAME = re.compile(rf"(?<![\w'’@/\-])(?=({_GIVEN}{_GAP1}{_FAMILY})(?![\w@]))")
+#: A word that a name may begin with; names and titles are matched where one starts.
+WORD_START = re.compile(rf"{_U}(?<![\w'’@/\-].)[\w.'’\-]*")
+FULL_NAME = re.compile(rf"({_GIVEN}{_GAP1}{_FAMILY})(?![\w@])")
 REVERSED = re.compile(rf"(?<![\w'’@/\-])(?=({_FAMILY},[^\S\n]?\n?{_WORD}(?:-{_WORD})?(?:[^\S\n]+{_U}\.)?)(?![\w@]))")
 _SMALL = rf"{_L}+(?:['’\-]{_L}+)*"
 SMALL_NAME = rf"{_SMALL}(?:\s+{_L}\.)?\s+(?:{_PARTICLE}\s+)?{_SMALL}"
 
-TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Atty|Hon|Herrn?|Frau|Fräulein|Monsieur|Madame|Mademoiselle|MM?|Mmes?|Mlle|Me|Maître|Sra?|Srta|Señora?|Señorita|Don|Doña|Dña"
-TITLED = re.compile(rf"(?<![\w'’.])(?:(?:{TITLES})\.?)\s+({_FAMILY})(?![\w@])")
+# Titles before a family name, without their full stop.
+TITLES = set(
+    "Mr Mrs Ms Miss Dr Prof Professor Atty Hon Herr Herrn Frau Fräulein Monsieur Madame Mademoiselle M MM Mme Mmes Mlle Me Maître Sr Sra Srta Señor Señora Señorita Don Doña Dña".split()
+)
+TITLED = re.compile(rf"\w+\.?\s+({_FAMILY})(?![\w@])")
 
 # --- cues ----------------------------------------------------------------------
 
@@ -349,17 +354,21 @@ class Finder:
 
     def _names(self, text: str) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for m in FULL_NAME.finditer(text):
+        for word in WORD_START.finditer(text):
+            at = word.start()
+            if word[0].rstrip(".") in TITLES and text[at - 1 : at] != "." and (m := TITLED.match(text, at)):
+                found[m.span(1)] = "titled"
+            m = FULL_NAME.match(text, at)
+            if not m:
+                continue
             a, b = m.span(1)
             first = text[a:b].split(None, 1)[0].lower()
             # Most pairs of capitalised words have nothing that speaks for a name.
             if first in self.given or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b) or _cued(text, a):
-                found[a, b] = "full"
+                found.setdefault((a, b), "full")
         for low, high in _windows([m.start() for m in _COMMA.finditer(text)], 60, 60, len(text)):
             for m in REVERSED.finditer(text, low, high):
                 found.setdefault(m.span(1), "reversed")
-        for m in TITLED.finditer(text):
-            found.setdefault(m.span(1), "titled")
         if "his is" in text or "name is" in text or "--" in text:
             for m in _SMALL_PLACES.finditer(text):
                 found.setdefault(m.span(1), "small")
@@ -369,7 +378,7 @@ class Finder:
         words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
         plain = [w for w in words if not w.endswith(".")]
         names = [w.lower() for w in plain if w not in _PARTICLES]
-        if not names or (form != "titled" and _TITLE.fullmatch(words[0]) and not (words[0].endswith(".") and len(words) > 2)):
+        if not names or (form != "titled" and words[0].rstrip(".") in TITLES and not (words[0].endswith(".") and len(words) > 2)):
             return None
         first, last = (names[-1], names[0]) if form == "reversed" else (names[0], names[-1])
         initials = form != "titled" and len(words) > len(plain) and len(names) == 1
@@ -399,7 +408,6 @@ class Finder:
         return Candidate("person_name", a, b, votes, [feature(f"name:form:{'initials' if initials else form}")])
 
 
-_TITLE = re.compile(rf"(?:{TITLES})\.?")
 # Names in small letters are looked for only where a person names themself.
 _SMALL_PLACES = re.compile(
     rf"(?:(?:\bthis\s+is|\bmy\s+name\s+is)\s+|(?:^|\n)--[^\S\n]*\r?\n)({SMALL_NAME})(?=\s*[,|])", re.I
