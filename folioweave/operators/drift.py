@@ -107,7 +107,7 @@ def file_states(doc: object, cat: Catalog, scope: dict[str, bool]) -> list[tuple
         return []
     out: list[tuple[str, str, str | None, str | None]] = []
     missing: list[str] = []
-    objects: list[tuple[str, dict, bool]] = []
+    objects: list[tuple[str, dict]] = []
 
     def look(path: str, name: str, parent: dict, deep: bool) -> None:
         if name not in parent:
@@ -121,7 +121,7 @@ def file_states(doc: object, cat: Catalog, scope: dict[str, bool]) -> list[tuple
         else:
             out.append((path, "ok", kind(x), None))
             if deep and isinstance(x, dict):
-                objects.append((path, x, True))
+                objects.append((path, x))
                 for child in cat.children.get(path, []):
                     look(child, _last(child), x, True)
 
@@ -130,7 +130,7 @@ def file_states(doc: object, cat: Catalog, scope: dict[str, bool]) -> list[tuple
             if root in cat.types:
                 look(root, root, doc, True)
         elif isinstance(doc.get(root), dict):
-            objects.append((root, doc[root], False))
+            objects.append((root, doc[root]))
             for child in cat.children.get(root, []):
                 look(child, _last(child), doc[root], False)
 
@@ -165,7 +165,7 @@ def file_states(doc: object, cat: Catalog, scope: dict[str, bool]) -> list[tuple
             else:
                 out.append((path, "absent", None, None))
 
-    for base, obj, _ in objects:
+    for base, obj in objects:
         for name, x in obj.items():
             path = f"{base}.{name}"
             if x is None or path in cat.types:
