@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.pii_rules import FEATURE_BITS, LABELERS, TYPES, Candidate, Finder
+from folioweave.llm.pii_rules import FEATURE_BITS, TYPES, Candidate, Finder
 from folioweave.session import checkpoint
 
 #: Spans of each type that the classifier is fitted on, the first by a hash of document and place.
