@@ -20,7 +20,7 @@ from folioweave.session import checkpoint
 
 Pattern = tuple[str, ...]
 #: So many candidates are shipped at once; more are counted in several passes.
-MAX_TREE = 500_000
+MAX_TREE = 100_000
 _END = None  # key of a tree node's candidate number
 
 
