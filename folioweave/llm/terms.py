@@ -12,15 +12,22 @@ JOINTS = " \t\n\u00a0_\\-\u2010-\u2014"
 ENDS = "_.,;:"
 
 
+def _cut(col: Column) -> Column:
+    joined = F.regexp_replace(F.lower(col), f"[{JOINTS}]+", "_")
+    return F.regexp_replace(joined, f"^[{ENDS}]+|[{ENDS}]+$", "")
+
+
 def term(col: Column) -> Column:
     """Term of a label; null for null and where nothing is left."""
-    joined = F.regexp_replace(F.lower(col), f"[{JOINTS}]+", "_")
-    return F.nullif(F.regexp_replace(joined, f"^[{ENDS}]+|[{ENDS}]+$", ""), F.lit(""))
+    return F.nullif(_cut(col), F.lit(""))
 
 
 def terms(col: Column) -> Column:
-    """Terms of an array of labels in their order, those without term left out; null gives an empty array."""
-    found = F.filter(F.transform(col, lambda x: term(x)), lambda x: x.isNotNull())
+    """Terms of an array of labels in their order, those without term left out; null gives an empty array.
+
+    The labels are cut once each; a null-if inside the loop would cut them twice.
+    """
+    found = F.filter(F.transform(col, _cut), lambda x: x.isNotNull() & (x != ""))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
