@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.functions.jsontext import BROKEN, clean, kind, load
+from folioweave.functions.jsontext import BROKEN, Literal, clean, held, kind, load, written
 from folioweave.operators.deliveries import latest
 from folioweave.operators.names import alias_cost
 
@@ -363,27 +363,66 @@ class SpecDrift:
 
 
 def _opened(files: DataFrame, paths: list[str], alias: dict[str, list[str]]) -> tuple[DataFrame, Callable[[str], Column]]:
-    """The readable files with a map column for every object that fields are looked up in, each parsed once.
+    """The readable files with a map of the fields' texts, each file parsed once by the reader of the footers.
 
     The second result gives the text of a field by its path, case and all; null
-    where it is missing or null.
+    where it is missing or null. A string holding a JSON object or array counts
+    as that JSON.
     """
     looked_up = set(paths) | {a for found in alias.values() for a in found}
     looked_up |= {f"{a}.{p.rpartition('.')[2]}" for path, found in alias.items() for a in found for p in paths if p.startswith(f"{path}.")}
-    objects = {p.rpartition(".")[0] for p in looked_up} - {""}
-    for path in list(objects):
-        objects |= {path[:i] for i, c in enumerate(path) if c == "."}
-    names = {"": "_o"} | {p: f"_o{i}" for i, p in enumerate(sorted(objects, key=lambda p: (p.count("."), p)))}
+    tree: dict = {}
+    for path in looked_up:
+        below = tree
+        for name in path.split("."):
+            here = below.setdefault(name, [None, {}])
+            below = here[1]
+        here[0] = path
+
+    opened = files.select("file_id", "producer", "received_at", "raw_json").mapInArrow(
+        lambda batches: _text_batches(batches, tree),
+        "file_id BIGINT, producer STRING, received_at TIMESTAMP, _o MAP<STRING, STRING>",
+    )
+    return opened, lambda path: F.col("_o")[F.lit(path)]
+
+
+def _text_batches(batches: Iterator[pa.RecordBatch], tree: dict) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places, texts = [], []
+        for i, text in enumerate(batch.column("raw_json").to_pylist()):
+            doc = load(text, literal=True)
+            if isinstance(doc, dict):
+                places.append(i)
+                texts.append(list(field_texts(doc, tree).items()))
+        kept = batch.drop_columns(["raw_json"]).take(pa.array(places, pa.int64()))
+        texts = pa.array(texts, pa.map_(pa.string(), pa.string()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, texts], names=[*kept.schema.names, "_o"])
+
+
+def field_texts(doc: dict, tree: dict) -> dict[str, str]:
+    """Texts of the fields of a tree (name -> [path or None, tree of what is below]) that are there and not null."""
+    out: dict[str, str] = {}
+    waiting = [(doc, tree)]
+    while waiting:
+        obj, names = waiting.pop()
+        for name, (path, below) in names.items():
+            x = obj.get(name)
+            if x is None:
+                continue
+            x = x if isinstance(x, Literal) else held(x, literal=True)
+            if path is not None:
+                out[path] = clean(x) if isinstance(x, str) else written(x)
+            if below and isinstance(x, dict):
+                waiting.append((x, below))
+    return out
+
+
+# What Python's reader accepts, Spark's must: it refuses long numbers and deep nesting by default.
+_UNBOUNDED = {"maxNestingDepth": "2147483647", "maxNumLen": "2147483647", "maxStringLen": "2147483647"}
 
-    def at(path: str) -> Column:
-        parent, _, name = path.rpartition(".")
-        return F.col(names[parent])[F.lit(name)]
 
-    files = files.withColumn("_o", F.from_json("raw_json", "MAP<STRING, STRING>")).filter("_o IS NOT NULL")
-    depth = {p: p.count(".") for p in objects}
-    for level in sorted(set(depth.values())):
-        files = files.withColumns({names[p]: F.from_json(at(p), "MAP<STRING, STRING>") for p in objects if depth[p] == level})
-    return files, at
+def _parsed(text: Column, kind: str) -> Column:
+    return F.from_json(text, kind, _UNBOUNDED)
 
 
 def _number(text: Column) -> Column:
@@ -435,7 +474,7 @@ def cast_expression(path: str, cat: Catalog, alias: dict[str, list[str]], at: Ca
         return F.coalesce(text.try_cast("double"), _number(text))
     if t == "boolean":
         return text.try_cast("boolean")
-    return F.from_json(text, ddl(path, cat))
+    return _parsed(text, ddl(path, cat))
 
 
 def _is_wrapped(path: str, cat: Catalog) -> bool:
@@ -444,7 +483,7 @@ def _is_wrapped(path: str, cat: Catalog) -> bool:
 
 def _listed(text: Column, name: str) -> Column:
     """A named part of a container written as a JSON list, as JSON in a string or as name=value text."""
-    items = F.from_json(text, "ARRAY<STRING>")
+    items = _parsed(text, "ARRAY<STRING>")
     named = F.filter(items, lambda x: F.get_json_object(x, "$.name") == name)
     return F.coalesce(
         F.when(F.ltrim(text).startswith("["), F.try_element_at(named, F.lit(1))),
@@ -455,7 +494,7 @@ def _listed(text: Column, name: str) -> Column:
 def _wrapped(text: Column, path: str, cat: Catalog) -> Column:
     """A wrapped value, or a bare one put in its place."""
     whole = F.ltrim(text).startswith("{")
-    parts = F.from_json(F.when(whole, text), "MAP<STRING, STRING>")
+    parts = _parsed(F.when(whole, text), "MAP<STRING, STRING>")
     out = []
     for c in cat.children[path]:
         t, name = cat.types[c], _last(c)

@@ -5,7 +5,7 @@ import pytest
 from payloads import wrapped
 
 from folioweave import SpecDrift
-from folioweave.functions.jsontext import BROKEN, load
+from folioweave.functions.jsontext import BROKEN, load, written
 from folioweave.operators.drift import DEFAULT_SCOPE, Catalog, file_states
 from folioweave.operators.names import abbreviates, alias_cost
 
@@ -189,3 +189,30 @@ def test_consistent_table(spark):
     assert (versions[1], versions[2], versions[3], versions[4]) == ("0.1.0", "0.2.0", "0.4.6", "0.4")
     pages = [(i, "structure", "a", 0, metrics(**{k: v})) for i, (k, v) in enumerate([("pages", 7), ("total_page_count", "ca. 7"), ("total_page_count", [7]), ("total_page_count", "007")])]
     assert {r.document_metrics.total_page_count for r in drift(spark, pages).table("structure").collect()} == {7}
+
+
+def test_consistent_table_reads_as_the_footers_do(spark):
+    def text(metadata, end=""):
+        return f'{{"_export_metadata": {metadata}, "layout": {json.dumps(layout())}}}{end}'
+
+    deep = "[" * 1200 + "]" * 1200
+    files = [
+        (1, "format", "a", 0, text('{"engine_version": "draft", "engine_version": "1.2"}')),
+        (2, "format", "a", 0, text('{"engine_version": "draft", "engine_version": null}')),
+        (3, "format", "a", 0, text('{"engine_version": "1"}', " xyz")),
+        (4, "format", "a", 0, text(f'{{"engine_version": "4", "extra": {deep}}}')),
+        (5, "format", "a", 0, text('{"engine_version": 0.10, "overall_confidence": NaN}')),
+        (6, "format", "a", 0, text(json.dumps('{"engine_version": "draft", "engine_version": "6"}'))),
+        (7, "format", "a", 0, text('{"engine_version": "7"}')[:-1] + f', "headings": [{{"level": 1, "level": 2, "x": {deep}}}, {{"level": {"9" * 3000}}}, {{"level": 3}}]}}'),
+    ]
+    rows = {r.file_id: r for r in drift(spark, files).table("format").collect()}
+    assert {i: r["_export_metadata"].engine_version for i, r in rows.items()} == {1: "1.2", 2: None, 4: "4", 5: "0.10", 6: "6", 7: "7"}
+    assert str(rows[5]["_export_metadata"].overall_confidence) == "nan"
+    assert [h.level for h in rows[7].headings] == [2, None, 3]
+
+
+def test_written_json():
+    text = '{"a": [1.50, -0, 1e400, NaN, "é\\n", true, null, {}, []], "b": {"c": [{"d": "x"}, []]}}'
+    assert written(load(text, literal=True)) == text
+    deep = '{"a": ' * 1200 + "1" + "}" * 1200
+    assert written(load(deep, literal=True)) == deep
