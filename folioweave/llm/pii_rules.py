@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 TYPES = ["email", "phone", "id_number", "address", "person_name"]
@@ -179,7 +180,7 @@ _ROUGH_ADDRESS = re.compile(rf"(?<![\w\-/.])\d{{1,6}}\s+(?:[\w'’\-]+\s+){{1,5}
 
 # Where to look: groups of digits, at signs and capitals after commas.
 _GROUP = re.compile(r"\d+")
-_BETWEEN = " \t\r\n\u00a0()+.-/" + "".join(map(chr, range(0x2010, 0x2016)))
+_BETWEEN = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "()+.-/" + "".join(map(chr, range(0x2010, 0x2016)))
 _DATE = re.compile(r"\d{4}-\d\d-\d\d")
 _AT_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s+[\w\-]{1,64}\s+dot\s", re.I)
 _COMMA = re.compile(rf",[^\S\n]?\n?{_U}")
@@ -219,6 +220,25 @@ def _follows(pattern: re.Pattern, text: str, at: int) -> bool:
     return any(m.end() == at for m in pattern.finditer(text, max(0, at - 60), at))
 
 
+# The last words of the labels of a person's numbers, and of what may stand between them and a number.
+_ID_ENDS = tuple(
+    "ssn number no no. tin id identification itin passport passeport n° n.º nº pasaporte reisepass nr nr. document licence license führerschein conduire card identity "
+    "personalausweis idnr idnr. nummer nir sécu secu sociale dni nif nie identidad is ist est es lautet".split()
+)
+
+
+def _labelled(text: str) -> Iterator[int]:
+    """Where a number may begin, capitals and digits mixed, that stands right behind a label of a person's numbers."""
+    last = -1
+    for m in _GROUP.finditer(text):
+        at = m.start()
+        while at and "A" <= text[at - 1] <= "Z":
+            at -= 1
+        if at > last and text[max(0, at - 60) : at].rstrip().rstrip(":#").rstrip().casefold().endswith(_ID_ENDS) and _follows(ID_BEFORE, text, at):
+            yield at
+        last = at
+
+
 def _windows(places: list[int], before: int, after: int, size: int) -> list[tuple[int, int]]:
     """Stretches around places, those that touch joined."""
     out: list[tuple[int, int]] = []
@@ -324,14 +344,18 @@ class Finder:
         found: dict[tuple[int, int], str] = {}
         for low, high, _ in runs:
             for form, pattern in IDS.items():
-                for m in pattern.finditer(text, max(0, low - 3), min(len(text), high + 4)):
-                    if _even(form, m):
+                if form == "other":
+                    continue
+                # A number ends at most so far after its run's end (a letter and seven digits in groups).
+                for m in pattern.finditer(text, max(0, low - 3), high + 24):
+                    if m.start() < high and _even(form, m):
                         found.setdefault((m.start(), m.end()), form)
+        for at in _labelled(text):
+            if m := IDS["other"].match(text, at):
+                found.setdefault(m.span(), "other")
         out = []
         for (a, b), form in found.items():
-            cue = 1 if _follows(ID_BEFORE, text, a) else -1
-            if form == "other" and cue < 0:
-                continue
+            cue = 1 if form == "other" or _follows(ID_BEFORE, text, a) else -1
             other = 0 if cue < 0 and _follows(OTHER_NUMBER, text, a) else -1
             unlabelled = 0 if cue < 0 else -1
             out.append(Candidate("id_number", a, b, (cue, 1 if form != "other" else -1, other, unlabelled), [feature(f"id:form:{form}")]))

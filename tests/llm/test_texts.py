@@ -206,6 +206,22 @@ def test_long_texts_take_linear_time():
         finder.candidates(text)
 
 
+def proposed(text, pii_type):
+    return {text[c.start : c.end] for c in Finder({"halvar"}, {"fisk", "kettlethorn"}).candidates(text) if c.pii_type == pii_type}
+
+
+@pytest.mark.parametrize(
+    "label, number",
+    [
+        ("Passport ", "C01X00T47"), ("passeport n°", "12AB34567"), ("driving licence ", "MORGA657054SM9IJ"), ("passport ", "123456ABCDEF"), ("DL No.: ", "A1 B2 C3 D4"),
+        ("NIR ", "1 85 05 2A 123 456 78"), ("SSN: ", "912\u202f45\u202f8976"), ("SSN: ", "912-45-8976"),
+    ],
+)
+def test_labelled_numbers_are_proposed_whole(label, number):
+    assert number in proposed(f"The {label}{number} was read out.", "id_number")
+    assert proposed(f"Exhibit {number} of C01X00T47, A1B2C3D4E5", "id_number") <= {number}
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
