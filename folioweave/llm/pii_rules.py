@@ -144,6 +144,13 @@ NOT_NAMES = set(
     "atentamente cordialement sincerely respectfully hochachtungsvoll saludos anschrift adresse domicilio address phone mail email tel fax ext return counsel court security social taxpayer passport number license licence".split()
 )
 
+# Family names that are words of places, buildings, law and trade as well; alone they speak for no person.
+ORDINARY = set(
+    "bank bay bishop bond bridge brief brook cask chapel church court cross dale falls ferry field ford forest gate glen green grove hall harbor harbour heath hill hills house "
+    "island judge justice king knight lake lane law major marsh meadow mill mills moor mount orchard page parish park point pond pool port price ridge river rock shore spring "
+    "square stone street temple timber tower town vale valley wall ward water waters well wells wood woods".split()
+)
+
 PHONE_BEFORE = re.compile(
     r"(?<!\w)(?:tel|tél|phone|telephone|téléphone|telefon|teléfono|telefonisch|mobile|cell|fax|voice|callback|reached\s+at|call\s+me\s+on|call|left\s+at|number\s+for\s+the\s+filer\s+is|filer\s+is|joignable\s+au|rappeler\s+le|unter|rufen|llamar\s+al|ruf)\s*[.:]*\s*:?\s*",
     re.I,
@@ -386,9 +393,10 @@ class Finder:
             if not m:
                 continue
             a, b = m.span(1)
-            first = text[a:b].split(None, 1)[0].lower()
+            words = text[a:b].lower().split()
+            first = words[0]
             # Most pairs of capitalised words have nothing that speaks for a name.
-            if first in self.given or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b) or _cued(text, a):
+            if first in self.given or self._telling(words[-1]) or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b) or _cued(text, a):
                 found.setdefault((a, b), "full")
         for low, high in _windows([m.start() for m in _COMMA.finditer(text)], 60, 60, len(text)):
             for m in REVERSED.finditer(text, low, high):
@@ -398,6 +406,14 @@ class Finder:
                 found.setdefault(m.span(1), "small")
         return [c for (a, b), form in found.items() if (c := self._name(text, a, b, form))]
 
+    def _family(self, name: str) -> bool:
+        """Is it, or a part of it, a known family name?"""
+        return name in self.family or ("-" in name and any(p in self.family for p in name.split("-")))
+
+    def _telling(self, name: str) -> bool:
+        """Is it a family name that speaks for a person alone?"""
+        return self._family(name) and name not in ORDINARY
+
     def _name(self, text: str, a: int, b: int, form: str) -> Candidate | None:
         words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
         plain = [w for w in words if not w.endswith(".")]
@@ -407,7 +423,7 @@ class Finder:
         first, last = (names[-1], names[0]) if form == "reversed" else (names[0], names[-1])
         initials = form != "titled" and len(words) > len(plain) and len(names) == 1
         given = form != "titled" and first in self.given
-        family = last in self.family or any(p in self.family for p in last.split("-"))
+        family = self._family(last)
         after = text[b : b + 60]
         cue = form in ("titled", "small") or _cued(text, a)
         cue_after = NAME_AFTER.match(after) is not None
@@ -418,7 +434,7 @@ class Finder:
             cue = cue or SIGNATURE_BEFORE.search(before[-12:]) or (before.endswith("; ") and NAME_LIST.search(before))
             cue = cue or (NAME_OPENING.search(before[-8:]) and re.match(r"\s+explained", after))
             cue_after = cue_after or (after.lstrip().startswith(";") and NAME_NEXT_IN_LIST.match(after) and "itness list" in before)
-        if not (cue or cue_after or given or (initials and family)):
+        if not (cue or cue_after or given or (initials and family) or self._telling(last)):
             return None
         if words[0] in _PARTICLES and _cued(text, a + text[a:b].index(words[1])):
             return None  # the particle is the cue's preposition
@@ -426,7 +442,7 @@ class Finder:
         org = form != "small" and (ORGANISATION_AFTER.match(after) or CAPTION.search(before) or any(w in STRONG_ORGANISATION for w in plain))
         bad = any(w in NOT_NAMES and w not in self.given and w not in self.family for w in names)
         bad = bad or (form != "titled" and names[0] in NOT_NAMES and not (cue and len(names) > 1))
-        if not (cue or cue_after or (given and not bad) or (initials and family)):
+        if not (cue or cue_after or (given and not bad) or (initials and family) or self._telling(last)):
             return None
         votes = (1 if cue else -1, 1 if cue_after else -1, 1 if given else -1, 1 if family else -1, 0 if org else -1, 0 if bad else -1)
         return Candidate("person_name", a, b, votes, [feature(f"name:form:{'initials' if initials else form}")])

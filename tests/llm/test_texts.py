@@ -207,7 +207,7 @@ def test_long_texts_take_linear_time():
 
 
 def proposed(text, pii_type):
-    return {text[c.start : c.end] for c in Finder({"halvar"}, {"fisk", "kettlethorn"}).candidates(text) if c.pii_type == pii_type}
+    return {text[c.start : c.end] for c in Finder({"halvar"}, {"fisk", "kettlethorn", "ferry"}).candidates(text) if c.pii_type == pii_type}
 
 
 @pytest.mark.parametrize(
@@ -222,6 +222,11 @@ def test_labelled_numbers_are_proposed_whole(label, number):
     assert proposed(f"Exhibit {number} of C01X00T47, A1B2C3D4E5", "id_number") <= {number}
 
 
+def test_names_of_known_families_are_proposed():
+    assert "Zorvik Kettlethorn" in proposed("Then Zorvik Kettlethorn left the hall", "person_name")
+    assert proposed("Then Zorvik Unheard left the Pelham Ferry", "person_name") == set()
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
