@@ -50,6 +50,8 @@ _IDS = {
     "other": r"(?=[A-Z]*\d)[A-Z\d](?:[A-Z\d]|[ .\-](?=[A-Z\d])){5,20}",
 }
 IDS = {k: re.compile(rf"(?<![\w*.\-])(?:{p})(?![\w]|[.\-‐-―]\d)") for k, p in _IDS.items()}
+# A number without its area or country code, as it may stand right behind a label; its groups are separated alike.
+LOCAL_PHONE = re.compile(rf"(?:\(?0\d{{1,4}}\)?{_S}?)?\d{{2,8}}(?:(?P<sep>{_S})\d{{2,5}}(?:(?P=sep)\d{{2,5}}){{0,2}})?(?![\w]|[.\-/‐-―]\d)")
 _EVEN = {"french": (4,), "spanish": (3,), "nine_digits": (2,), "eleven_digits": (3,), "fifteen_digits": (5, 6)}
 
 
@@ -188,13 +190,14 @@ _ROUGH_ADDRESS = re.compile(rf"(?<![\w\-/.])\d{{1,6}}\s+(?:[\w'’\-]+\s+){{1,5}
 # Where to look: groups of digits, at signs and capitals after commas.
 _GROUP = re.compile(r"\d+")
 _BETWEEN = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "()+.-/" + "".join(map(chr, range(0x2010, 0x2016)))
-_DATE = re.compile(r"\d{4}-\d\d-\d\d")
+_ISO_DATE = re.compile(r"\d{4}-\d\d-\d\d")
+_DATE = re.compile(r"\d{4}-\d\d-\d\d|\d\d?([./-])\d\d?\1\d{4}")
 _AT_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s+[\w\-]{1,64}\s+dot\s", re.I)
 _COMMA = re.compile(rf",[^\S\n]?\n?{_U}")
 
 
 def _digit_runs(text: str) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """Runs of digit groups with only separators between, as (start, end, digits) of six digits or more, and the groups of five."""
+    """Runs of digit groups with only separators between, as (start, end, digits) of five digits or more, and the groups of five."""
     runs, fives = [], []
     start = end = n = 0
     for m in _GROUP.finditer(text):
@@ -204,12 +207,12 @@ def _digit_runs(text: str) -> tuple[list[tuple[int, int, int]], list[int]]:
         if n and a - end < 6 and not text[end:a].strip(_BETWEEN):
             end, n = b, n + b - a
         else:
-            if n > 5:
+            if n > 4:
                 runs.append((start, end, n))
             start, end, n = a, b, b - a
-    if n > 5:
+    if n > 4:
         runs.append((start, end, n))
-    return [r for r in runs if not _DATE.fullmatch(text, r[0], r[1])], fives
+    return [r for r in runs if not _ISO_DATE.fullmatch(text, r[0], r[1])], fives
 
 
 # The last words of the cues before a name; a colon may end others.
@@ -327,30 +330,35 @@ class Finder:
         found: dict[tuple[int, int], str] = {}
         starts = set()
         for low, high, n in runs:
-            if n < 9:
+            first = low - (text[low - 1 : low] == "(")
+            labelled = _follows(PHONE_BEFORE, text, first)
+            if n < 9 and not labelled:
                 continue
             for form, pattern in PHONES.items():
                 for m in pattern.finditer(text, max(0, low - 3), min(len(text), high + 2)):
                     if _even(form, m) and not (form == "international" and m.start() in starts):
                         found.setdefault((m.start(), m.end()), form)
                         starts.add(m.start())
+            if labelled and first not in starts and (m := LOCAL_PHONE.match(text, first)):
+                found.setdefault(m.span(), "local")
         out = []
         for (a, b), form in found.items():
             digits = sum(ch.isdigit() for ch in text[a:b])
-            if digits < 9:
+            cue = _follows(PHONE_BEFORE, text, a)
+            if digits < (5 if cue else 9):
                 continue
             own = 1 if LINE_START.search(text[max(0, a - 40) : a]) and LINE_END.match(text, b) else -1
             bare = text[a:b].isdigit()
-            strong = form != "german" and not (bare and digits == 9) or form == "german" and text[a:b].startswith(("+49", "0049"))
-            other = _follows(OTHER_NUMBER, text, a) or _follows(ID_BEFORE, text, a)
-            votes = (1 if _follows(PHONE_BEFORE, text, a) else -1, own, 1 if strong else -1, 0 if other else -1, 0 if digits > 15 else -1)
+            strong = form not in ("german", "local") and not (bare and digits == 9) or form == "german" and text[a:b].startswith(("+49", "0049"))
+            other = _follows(OTHER_NUMBER, text, a) or _follows(ID_BEFORE, text, a) or _DATE.fullmatch(text, a, b)
+            votes = (1 if cue else -1, own, 1 if strong else -1, 0 if other else -1, 0 if digits > 15 else -1)
             out.append(Candidate("phone", a, b, votes, [feature(f"phone:form:{form}")]))
         return out
 
     def _ids(self, text: str, runs: list[tuple[int, int, int]]) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for low, high, _ in runs:
-            for form, pattern in IDS.items():
+        for low, high, n in runs:
+            for form, pattern in IDS.items() if n > 5 else ():
                 if form == "other":
                     continue
                 # A number ends at most so far after its run's end (a letter and seven digits in groups).

@@ -227,6 +227,13 @@ def test_names_of_known_families_are_proposed():
     assert proposed("Then Zorvik Unheard left the Pelham Ferry", "person_name") == set()
 
 
+def test_labelled_local_phones_are_proposed():
+    assert proposed("Phone: 555-0142, ask for the clerk", "phone") == {"555-0142"}
+    assert proposed("Tel. 0911 4567", "phone") == {"0911 4567"}
+    assert proposed("Phone: 555-0142 12 Elm Street", "phone") == {"555-0142"}
+    assert proposed("Exhibit 555-0142, 0911 4567; call 12", "phone") == set()
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
