@@ -69,7 +69,10 @@ _STREETS = r"Avenue|Ave|Boulevard|Blvd|Court|Ct|Drive|Dr|Highway|Hwy|Lane|Ln|Pla
 _HOUSE = r"\d{1,6}(?:-?[A-Z])?(?:\s+1/2)?"
 _BOX = r"(?i:P\.?\s?O\.?|Post\s+Office)\s+(?i:Box)\s+\d{1,6}"
 _GAP = r"(?:,\s*|\s*\n\s*|\s+)"
-_TOWN_EU = rf"{_U}[\w'’]+(?:-[\w'’]+){{0,4}}"
+_TOWN_PART = rf"{_U}[\w'’]+(?:-[\w'’]+){{0,4}}"
+_TOWN_SMALL = r"(?:am|an|auf|aux?|bei|ob|vor|im|in|der|dem|den|de|del|des|du|d|di|la|las|le|les|el|los|lès|lez|sur|sous|en|et|y|i)"
+# Further words of a town stand on its line; a label, as before a colon or of a number, is none.
+_TOWN_EU = rf"{_TOWN_PART}(?:[^\S\n\r]+(?:{_TOWN_SMALL}[^\S\n\r]+|[dlDL]['’])*(?!(?:Tel|Tél|Fax|Phone|Telefon|Teléfono|Téléphone|Mobil|Móvil|E-?[Mm]ail|Email|Mail)\b){_TOWN_PART}(?![\w'’\-]|\s*[:@])){{0,5}}"
 _ADJECTIVE = r"(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|Hohe|Lange|Breite)[rsn]?\s+)"
 ADDRESSES = {
     "american": re.compile(
@@ -277,7 +280,7 @@ LABELERS = {
     "email": ["form", "at_sign", "cue_before", "measure"],
     "phone": ["cue_before", "own_line", "form", "other_label", "digits"],
     "id_number": ["cue_before", "form", "other_label", "no_label"],
-    "address": ["form", "cue_before", "postcode"],
+    "address": ["form", "cue_before"],
     "person_name": ["cue_before", "cue_after", "given_known", "family_known", "organisation", "not_a_name"],
 }
 FEATURE_BITS = 14
@@ -378,7 +381,7 @@ class Finder:
 
     def _addresses(self, text: str, postcodes: list[int]) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for low, high in _windows(postcodes, 160, 80, len(text)):
+        for low, high in _windows(postcodes, 160, 160, len(text)):
             for form, pattern in ADDRESSES.items():
                 for m in pattern.finditer(text, low, high):
                     found.setdefault(m.span(), form)
@@ -388,7 +391,7 @@ class Finder:
         for (a, b), form in found.items():
             full = form != "rough"
             cue = STREET_BEFORE.search(text[max(0, a - 30) : a]) or LINE_START.search(text[max(0, a - 5) : a])
-            out.append(Candidate("address", a, b, (int(full), 1 if cue else -1, int(full)), [feature(f"address:form:{form}")]))
+            out.append(Candidate("address", a, b, (int(full), 1 if cue else -1), [feature(f"address:form:{form}")]))
         return out
 
     def _names(self, text: str) -> list[Candidate]:

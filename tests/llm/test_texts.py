@@ -234,6 +234,15 @@ def test_labelled_local_phones_are_proposed():
     assert proposed("Exhibit 555-0142, 0911 4567; call 12", "phone") == set()
 
 
+@pytest.mark.parametrize(
+    "address",
+    ["17 rue des Lilas, 17000 La Rochelle", "Calle Mayor 5, 28700 San Sebastián de los Reyes", "Am Krähenbusch 59 c, 60311 Frankfurt am Main", "3 quai Nord, 13200 Saint-Martin de l'Isle", "4 rue Basse, 00366 Orsel-sur-Tarn"],
+)
+@pytest.mark.parametrize("after", [" und blieb.", "\nThe Rest", ", Then", " Tel. 0911 4567", " Email: x"])
+def test_towns_of_several_words(address, after):
+    assert proposed(address + after, "address") == {address}
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
