@@ -100,8 +100,9 @@ _WORD = rf"(?:{_U}\w+|{_U}['’]{_U}\w+)(?:['’]{_U}\w+)?"
 _FAMILY = rf"(?:{_PARTICLE}\s+)?{_WORD}(?:-{_WORD})*"
 _GIVEN = rf"(?:{_WORD}(?:-{_WORD})?|{_U}\.(?:\s?{_U}\.)?)(?:\s+{_U}\.)?"
 _GAP1 = r"(?:[^\S\n]*\n?[^\S\n]*(?<=\s))"
-#: A word that a name may begin with; names and titles are matched where one starts.
-WORD_START = re.compile(rf"{_U}(?<![\w'’@/\-].)[\w.'’\-]*")
+#: A word that a title or a name may begin with; a name doesn't begin after one of NOT_BEFORE_NAMES.
+WORD_START = re.compile(rf"{_U}(?<![\w'’].)[\w.'’]*")
+NOT_BEFORE_NAMES = frozenset("@/-")
 FULL_NAME = re.compile(rf"({_GIVEN}{_GAP1}{_FAMILY})(?![\w@])")
 REVERSED = re.compile(rf"(?<![\w'’@/\-])(?=({_FAMILY},[^\S\n]?\n?{_WORD}(?:-{_WORD})?(?:[^\S\n]+{_U}\.)?)(?![\w@]))")
 _SMALL = rf"{_L}+(?:['’\-]{_L}+)*"
@@ -400,8 +401,7 @@ class Finder:
             at = word.start()
             if word[0].rstrip(".") in TITLES and text[at - 1 : at] != "." and (m := TITLED.match(text, at)):
                 found[m.span(1)] = "titled"
-            m = FULL_NAME.match(text, at)
-            if not m:
+            if text[at - 1 : at] in NOT_BEFORE_NAMES or not (m := FULL_NAME.match(text, at)):
                 continue
             a, b = m.span(1)
             words = text[a:b].lower().split()

@@ -243,6 +243,13 @@ def test_towns_of_several_words(address, after):
     assert proposed(address + after, "address") == {address}
 
 
+def test_titles_after_slashes_dashes_and_at_signs():
+    assert proposed("Herr/Frau Müller kam", "person_name") == {"Müller"}
+    assert proposed("Mr./Mrs. Smith came", "person_name") == {"Smith"}
+    assert proposed("done\n--Dr. Jones", "person_name") == {"Jones"}
+    assert proposed("to @Prof. Braun, Jean-Halvar Fisk/Halvar Fisk", "person_name") == {"Braun", "Jean-Halvar Fisk"}
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
