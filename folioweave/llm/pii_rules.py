@@ -452,7 +452,7 @@ class Finder:
         before = text[max(0, a - 25) : a]
         org = form != "small" and (ORGANISATION_AFTER.match(after) or CAPTION.search(before) or any(w in STRONG_ORGANISATION for w in plain))
         bad = any(w in NOT_NAMES and w not in self.given and w not in self.family for w in names)
-        bad = bad or (form != "titled" and names[0] in NOT_NAMES and not (cue and len(names) > 1))
+        bad = bad or (form != "titled" and names[0] in NOT_NAMES and not ((cue or (cue_after and given and family)) and len(names) > 1))
         if not (cue or cue_after or (given and not bad) or (initials and family) or self._telling(last)):
             return None
         votes = (1 if cue else -1, 1 if cue_after else -1, 1 if given else -1, 1 if family else -1, 0 if org else -1, 0 if bad else -1)
