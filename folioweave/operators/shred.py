@@ -106,12 +106,12 @@ def elements(value: object) -> Iterator[tuple[int, dict]]:
 def _shred_batches(batches: Iterator[pa.RecordBatch], keep: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[] for _ in keep]
-        for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for file_id, text, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             doc = load(text)
             if doc is BROKEN:
                 continue
             for row in nodes(doc):
-                for column, x in zip(rows, (file_id, *row), strict=True):
+                for column, x in zip(rows, (file_id, content, *row), strict=True):
                     column.append(x)
             if len(rows[0]) >= _BATCH_NODES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, keep, strict=True)], schema=keep)
@@ -127,17 +127,25 @@ def adjacency(files: DataFrame) -> DataFrame:
     empty, broken or non-object text gives no rows, nor does an empty table.
     Texts are read whole; other columns, whatever their names, are not looked at.
     """
-    one = latest(files.select("file_id", "received_at", "raw_json"), "file_id").select("file_id", "raw_json")
+    return _adjacency(files).drop(_FILE)
+
+
+def _adjacency(files: DataFrame) -> DataFrame:
+    """Adjacency rows with what tells files without an id apart."""
+    one = latest(files.select("file_id", "received_at", "raw_json"), "file_id")
+    content = F.when(F.col("file_id").isNull(), F.sha2(F.concat_ws(" ", F.col("received_at").cast("string"), "raw_json"), 256))
+    one = one.select("file_id", "raw_json", content.alias(_FILE))
     text, integer = pa.string(), pa.int32()
     keep = pa.schema(
-        [("file_id", pa.int64())]
+        [("file_id", pa.int64()), (_FILE, text)]
         + [(n, integer if n == "ordinal" else text) for n in ("node", "parent", "label", "ordinal", "role", "scalar")]
     )
     return one.withColumn("file_id", F.col("file_id").cast("bigint")).mapInArrow(
-        lambda batches: _shred_batches(batches, keep), f"file_id BIGINT, {NODE_FIELDS}"
+        lambda batches: _shred_batches(batches, keep), f"file_id BIGINT, {_FILE} STRING, {NODE_FIELDS}"
     )
 
 
+_FILE = "_file"  # content hash of a file without an id, null for the others
 _PIVOTED = list(WRAPPED | {"level": "int"} | SECTION_SCALARS | GRAPH_SCALARS)
 
 
@@ -148,12 +156,16 @@ def entities(files: DataFrame) -> DataFrame:
     to which an object row brings its place and a scalar row its value: the
     join of the adjacency table with itself without a second pass over it.
     Columns: file_id, node, parent, label, ordinal, role, scalar (of steps and
-    counts), then one text column for each scalar label.
+    counts), then one text column for each scalar label. Files without an id
+    are told apart by their content.
     """
-    adj = adjacency(files)
+    return _grouped(_adjacency(files), "file_id", _FILE)
+
+
+def _grouped(adj: DataFrame, *keys: str) -> DataFrame:
     is_scalar = F.col("role") == "scalar"
     place = F.struct("role", "parent", "label", "ordinal", "scalar")
-    grouped = adj.groupBy("file_id", F.when(is_scalar, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(
+    grouped = adj.groupBy(*keys, F.when(is_scalar, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(
         F.max(F.when(~is_scalar, place)).alias("_o"),
         *[F.max(F.when(is_scalar & (F.col("label") == n), F.col("scalar"))).alias(n) for n in _PIVOTED],
     )
@@ -165,8 +177,8 @@ def shred(files: DataFrame) -> dict[str, DataFrame]:
 
     typography, typography_fields, headings, heading_fields, sections, steps,
     citation_graph, citation_counts. Sections within sections are rows of
-    ``sections`` whose parent is a section. Files without an id can't be told
-    apart: their equally named nodes are merged. Every table is lazy; write
+    ``sections`` whose parent is a section. Files without an id have rows of
+    their own, told apart by the files' content. Every table is lazy; write
     ``entities`` first to fill several of them from one pass.
     """
     return tables(entities(files))
@@ -194,6 +206,6 @@ def tables(all_entities: DataFrame) -> dict[str, DataFrame]:
 
 def parent_child_links(files: DataFrame) -> DataFrame:
     """Distinct (file_id, parent_path, child_path) of the rows of all flat tables."""
-    return entities(files).filter("role IS NOT NULL").select(
+    return _grouped(adjacency(files), "file_id").filter("role IS NOT NULL").select(
         "file_id", F.col("parent").alias("parent_path"), F.col("node").alias("child_path")
     )

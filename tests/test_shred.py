@@ -83,3 +83,9 @@ def test_very_deep_nesting(spark):
         doc = section("inner", argument_sections=[doc])
     got = links(spark, (1, {"argument_sections": [doc]}))
     assert len(got) == 201
+
+
+def test_files_without_an_id_have_rows_of_their_own(spark):
+    docs = [{"headings": [{"level": 1}]}, {"headings": [{"level": 2}, {}]}]
+    rows = shred(files(spark, *[(None, d) for d in docs * 2]))["headings"].collect()
+    assert sorted((r.ordinal, r.level or 0) for r in rows) == [(0, 1), (0, 2), (1, 0)]
