@@ -31,7 +31,6 @@ MAX_CATALOG_FIELDS = 100_000
 MAX_ALIASES = 100_000
 #: Files that one row of the lifespan catalogue lists.
 ISLAND_FILES = 1000
-_ALIAS_DEPTH = 3  # how deep below a known object a moved field is looked for
 
 
 @dataclass
@@ -72,27 +71,20 @@ def _last(path: str) -> str:
 def _strays(doc: dict, cat: Catalog) -> list[tuple[tuple[str, ...], object]]:
     """Uncatalogued fields that may hold a moved one, as (path, value), with what objects among them hold."""
     found: list[tuple[tuple[str, ...], object]] = []
-
-    def below(at: tuple[str, ...], obj: dict, depth: int) -> None:
+    waiting = [((), doc, True)]
+    while waiting:
+        at, obj, known = waiting.pop()
         for name, x in obj.items():
             if x is None:
                 continue
-            found.append(((*at, name), x))
-            if isinstance(x, dict) and depth > 1:
-                below((*at, name), x, depth - 1)
-
-    def known(at: tuple[str, ...], obj: dict) -> None:
-        for name, x in obj.items():
             path = ".".join((*at, name))
-            if path in cat.types:
+            if known and path in cat.types:
                 if isinstance(x, dict) and path in cat.children:
-                    known((*at, name), x)
-            elif x is not None:
+                    waiting.append(((*at, name), x, True))
+            else:
                 found.append(((*at, name), x))
                 if isinstance(x, dict):
-                    below((*at, name), x, _ALIAS_DEPTH - 1)
-
-    known((), doc)
+                    waiting.append(((*at, name), x, False))
     return found
 
 
@@ -195,10 +187,16 @@ def _may_hold(value: object, json_type: str) -> bool:
 
 def _serves(at: tuple[str, ...], value: object, taken: dict[tuple[str, ...], str]) -> bool:
     """Does the field hold nothing but moved fields?"""
-    if at in taken:
-        return True
-    inner = {n: x for n, x in value.items() if x is not None} if isinstance(value, dict) else {}
-    return bool(inner) and all(_serves((*at, n), x, taken) for n, x in inner.items())
+    waiting = [(at, value)]
+    while waiting and taken:
+        at, x = waiting.pop()
+        if at in taken:
+            continue
+        inner = [((*at, n), v) for n, v in x.items() if v is not None] if isinstance(x, dict) else []
+        if not inner:
+            return False
+        waiting += inner
+    return bool(taken)
 
 
 _STATES = "states ARRAY<STRUCT<field_path: STRING, state: STRING, json_type: STRING, alias_path: STRING>>"

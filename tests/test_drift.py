@@ -216,3 +216,12 @@ def test_written_json():
     assert written(load(text, literal=True)) == text
     deep = '{"a": ' * 1200 + "1" + "}" * 1200
     assert written(load(deep, literal=True)) == deep
+
+
+def test_fields_moved_far():
+    assert found(metrics(totals={"doc": {"count": {"of": {"page_count": 3}}}}), "structure") == {("document_metrics.total_page_count", "renamed")}
+    deep = {"page_count": 3}
+    for _ in range(600):
+        deep = {"doc": deep}
+    assert found(metrics(**deep), "structure") == {("document_metrics.total_page_count", "renamed")}
+    assert found(metrics(total_page_count=3, **deep), "structure") == {("document_metrics.doc", "added")}
