@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from folioweave.session import checkpoint, checkpoint_dir
+from folioweave.session import checkpoint, checkpoint_dir, discard, forget, repeatable, scratch
 
 
 class Context:
@@ -30,3 +30,22 @@ def test_checkpoint_folder():
 
 def test_checkpoint_keeps_the_rows(spark):
     assert checkpoint(spark.range(5)).count() == 5
+
+
+def test_checkpoints_are_deleted(spark):
+    kept = checkpoint(spark.range(5))
+    forget(kept)
+    with pytest.raises(Exception, match="(?i)checkpoint|exist"):
+        kept.count()
+    path = scratch(spark)
+    spark.range(3).write.parquet(path)
+    discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_only_shuffled_rows_are_written_to_be_repeatable(spark):
+    plain = spark.range(5)
+    assert repeatable(plain) is plain
+    shuffled = plain.repartition(2)
+    assert repeatable(shuffled) is not shuffled and repeatable(shuffled).count() == 5
