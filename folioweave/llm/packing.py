@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.session import repeatable
+
 OPEN_BINS = 1024
 
 
@@ -75,14 +77,16 @@ def pack(items: DataFrame, capacities: dict[str, int], open_bins: int = OPEN_BIN
     in part 0, or in as many parts as an item needs that is larger than the
     capacity. Null and negative sizes count as 0, and items of size 0 are packed
     too. Repeated rows and null ids are items of their own. Pack names tell the
-    partition and the bin, so a task that is run again gives the same names as
-    long as its input is the same.
+    partition and the bin; items that come out of a shuffle are written to the
+    checkpoint folder first, so that a task that is run again gives the same.
     """
     if any(c < 1 for c in capacities.values()):
         raise ValueError("capacities must be positive")
-    rows = items.select(
-        F.col("item_id").cast("bigint").alias("item_id"),
-        F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0)).alias("size"),
+    rows = repeatable(
+        items.select(
+            F.col("item_id").cast("bigint").alias("item_id"),
+            F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0)).alias("size"),
+        )
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

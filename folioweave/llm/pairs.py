@@ -14,14 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.session import checkpoint
+from folioweave.llm.frequent import only_frequent
+from folioweave.session import checkpoint, forget
 
 ITEM_BLOCK = 1024
-#: Up to so many frequent items are shipped to the tasks to leave the others out early.
-MAX_SHIPPED_ITEMS = 200_000
 _COUNTS = pa.schema([("field_name", pa.string()), ("item_a", pa.string()), ("item_b", pa.string()), ("n_ab", pa.int64())])
 
 
@@ -91,56 +90,47 @@ def cooccurrences(baskets: DataFrame, least: int = 1, one_in: int | None = None)
     item of the field), lift (n_ab * n / (n_a * n_b)) and pmi (its binary
     logarithm). Only pairs in at least ``least`` baskets and, if given, in at
     least one of ``one_in``. Items that are too rare for that by themselves are
-    left out beforehand, which loses no such pair; at most ``one_in`` times the
-    mean basket's size of items can be frequent. Writes the baskets and the
+    left out beforehand, by a filter of a fixed size (see ``frequent``), which
+    loses no such pair. Writes the baskets, until the pairs are counted, and the
     pairs' sums to the checkpoint folder, and runs queries for these and for
     the frequent items.
     """
     items = F.array_distinct(F.array_compact(F.coalesce("items", F.array().cast("array<string>"))))
     baskets = baskets.select(F.col("field_name").cast("string").alias("field_name"), items.alias("items"))
     baskets = checkpoint(baskets.filter((F.size("items") > 0) & F.col("field_name").isNotNull()))
-    sizes = baskets.groupBy("field_name").agg(F.count("*").alias("n"))
+    sizes = checkpoint(baskets.groupBy("field_name").agg(F.count("*").alias("n")))
+    kept = baskets
     if least > 1 or one_in:
-        baskets = _without_rare(baskets, sizes, least, one_in)
+        own = baskets.select("field_name", F.explode("items").alias("item")).groupBy("field_name", "item").agg(F.count("*").alias("n_a"))
+        own = own.join(sizes, "field_name").filter((F.col("n_a") >= least) & (at_least_one_in(F.col("n_a"), F.col("n"), one_in)))
+        kept = only_frequent(baskets.select("field_name", "items"), own.select("field_name", "item"))
     counts = (
-        baskets.mapInArrow(_gram_batches, "field_name STRING, item_a STRING, item_b STRING, n_ab BIGINT")
+        kept.mapInArrow(_gram_batches, "field_name STRING, item_a STRING, item_b STRING, n_ab BIGINT")
         .groupBy("field_name", "item_a", "item_b")
         .agg(F.sum("n_ab").alias("n_ab"))
     )
     # The sums are used three times below; without a cut each use would multiply the blocks again.
     counts = checkpoint(counts.filter(F.col("n_ab") >= least))
+    forget(baskets)
     own = counts.filter("item_a = item_b")
     a = own.select("field_name", "item_a", F.col("n_ab").alias("n_a"))
     b = own.select("field_name", F.col("item_b"), F.col("n_ab").alias("n_b"))
     pairs = counts.filter("item_a < item_b").join(a, ["field_name", "item_a"]).join(b, ["field_name", "item_b"]).join(sizes, "field_name")
-    if one_in:
-        pairs = pairs.filter(F.col("n_ab") * one_in >= F.col("n"))
+    pairs = pairs.filter(at_least_one_in(F.col("n_ab"), F.col("n"), one_in))
     lift = F.col("n_ab") * F.col("n").cast("double") / (F.col("n_a") * F.col("n_b").cast("double"))
     return pairs.select("field_name", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
 
 
-def _without_rare(baskets: DataFrame, sizes: DataFrame, least: int, one_in: int | None) -> DataFrame:
-    counts = baskets.select("field_name", F.explode("items").alias("item")).groupBy("field_name", "item").agg(F.count("*").alias("n_a"))
-    counts = counts.join(sizes, "field_name").filter((F.col("n_a") >= least) & (F.col("n_a") * (one_in or 0) >= F.col("n") * int(bool(one_in))))
-    kept = counts.select("field_name", "item").limit(MAX_SHIPPED_ITEMS + 1).collect()
-    if len(kept) > MAX_SHIPPED_ITEMS:
-        return baskets  # only slower: rare pairs are dropped after counting
-    frequent: dict[str, set[str]] = {}
-    for r in kept:
-        frequent.setdefault(r.field_name, set()).add(r.item)
-    shipped = baskets.sparkSession.sparkContext.broadcast({k: pa.array(sorted(v), pa.string()) for k, v in frequent.items()})
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, out = batch.column(1), []
-            flat, parent = lists.flatten(), pc.list_parent_indices(lists)
-            names = batch.column(0).take(parent)
-            inside = pa.array(np.zeros(len(flat), dtype=bool))
-            for name, vocabulary in shipped.value.items():
-                inside = pc.or_(inside, pc.and_(pc.equal(names, name), pc.is_in(flat, value_set=vocabulary)))
-            flat, parent = flat.filter(inside), parent.filter(inside).to_numpy(zero_copy_only=False)
-            ends = np.searchsorted(parent, np.arange(len(lists) + 1)).astype(np.int32)
-            out = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["field_name", "items"])
-
-    return baskets.mapInArrow(keep, "field_name STRING, items ARRAY<STRING>")
+def _exact(n: Column) -> Column:
+    """A count that can be multiplied by another: a product of two 64-bit counts fits 38 digits."""
+    return n.cast("decimal(19, 0)")
+
+
+def at_least_one_in(n: Column, of: Column, one_in: int | None) -> Column:
+    """Is ``n`` at least one in ``one_in`` of a count; true if None."""
+    return F.lit(True) if one_in is None else _exact(n) * _exact(F.lit(one_in)) >= _exact(of)
+
+
+def beyond_chance(times: int = 2) -> Column:
+    """Do the items of a row of :func:`cooccurrences` stand together at least ``times`` as often as by chance; exact."""
+    return _exact(F.col("n_ab")) * _exact(F.col("n")) >= _exact(F.col("n_a")) * _exact(F.col("n_b")) * times

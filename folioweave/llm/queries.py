@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.frequencies import marked, record_terms
 from folioweave.llm.packing import fill_report, pack
-from folioweave.llm.pairs import cooccurrences
+from folioweave.llm.pairs import beyond_chance, cooccurrences
 from folioweave.llm.pii import find_personal, fit, propose, redact
 from folioweave.llm.subsequences import frequent_subsequences
 from folioweave.llm.terms import terms
@@ -68,8 +68,7 @@ def _frequent_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _frequent_pairs(spark, sf).filter(F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * 2)
-    return pairs.select("field_name", "item_a", "item_b")
+    return _frequent_pairs(spark, sf).filter(beyond_chance(2)).select("field_name", "item_a", "item_b")
 
 
 def p3_pair_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,8 +4,9 @@ Documents are read in blocks. A block's pre-tokens become a list of its
 distinct words and, for each position, the number of its word. The words are
 shuffled, so that each distinct word of the corpus is encoded once, and their
 ids are joined back to the blocks, which put them together by position. A word
-gives one row a block, however often it occurs there: a very common word has
-no larger share of the rows than one in a block's distinct words.
+gives one row a block, however often it occurs there. Words are shuffled by
+groups of ``GROUP_PARTITIONS`` input partitions, so that the rows of a word
+that is in every block don't all meet in one task.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.session import repeatable
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Characters of a block; a longer text is a block by itself.
 BLOCK_CHARS = 1_000_000
+#: Input partitions whose words are encoded once; as many as a word can have rows from in one task.
+GROUP_PARTITIONS = 4096
+#: Tokens of a vocabulary; decoding ships its token-byte table.
+MAX_TOKENS = 1 << 22
 
 # How the vocabulary's tokenizer splits a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,32 +160,63 @@ def encode_corpus(
     a null or empty text has an empty list. Texts are encoded whole, a very long
     one as a block of its own; no rows give none; other columns are not looked
     at. ``path`` is the folder of the
-    vocabulary's ``.tiktoken`` file, which every executor reads there.
+    vocabulary's ``.tiktoken`` file, which every executor reads there. Documents
+    that come out of a shuffle are written to the checkpoint folder first, as
+    blocks are named by their place.
     """
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    words = docs.mapInArrow(_split_batches, _ROW_DDL).repartition("key").sortWithinPartitions("key")
+    docs = repeatable(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
+    words = docs.mapInArrow(_split_batches, _ROW_DDL)
+    words = words.repartition("key", F.shiftright("block", 32 + GROUP_PARTITIONS.bit_length() - 1)).sortWithinPartitions("key")
     coded = words.mapInArrow(lambda b: _encode_batches(b, path, vocabulary), _CODED_DDL)
     return coded.repartition("block").sortWithinPartitions("block", "word_no").mapInArrow(_assemble_batches, "doc_id BIGINT, ids ARRAY<INT>")
 
 
-def token_table(spark: SparkSession, path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The token-byte table: id, hex (of the token's bytes); as many rows as the vocabulary has."""
-    rows = pa.table({"id": pa.array(ranks(path, vocabulary).values(), pa.int32()), "hex": [t.hex() for t in ranks(path, vocabulary)]})
-    return spark.createDataFrame(rows)
+class TokenBytes:
+    """The token-byte table: the bytes of id i are ``flat[start[i]:start[i] + width[i]]``."""
+
+    def __init__(self, table: dict[bytes, int]):
+        if len(table) > MAX_TOKENS or max(table.values(), default=0) >= 2 * MAX_TOKENS:
+            raise ValueError(f"more than {MAX_TOKENS} tokens")
+        unknown = "\ufffd".encode()
+        self.known = max(table.values(), default=-1) + 1
+        tokens = [unknown] * (self.known + 1)  # the last stands for every unknown id
+        for token, i in table.items():
+            tokens[i] = token
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.width = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.width) - self.width
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of lists of ids, the i-th being ``ids[offsets[i]:offsets[i + 1]]``."""
+        ids = np.where((ids >= 0) & (ids < self.known), ids, self.known)
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        raw = self.flat[np.repeat(self.start[ids] - ends + width, width) + np.arange(width.sum())].tobytes()
+        at = np.concatenate([[0], ends])[offsets]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def decode_corpus(encoded: DataFrame, path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Texts of encoded documents (doc_id, which must be unique, and ids): doc_id, text.
+    """Texts of encoded documents (doc_id, ids): doc_id, text.
 
-    Ids meet the token-byte table in a join, once for each distinct id of a
-    document. No ids give an empty text; bytes that are no UTF-8 give U+FFFD.
+    One row for each row, also for repeated and null doc_ids. Ids meet the
+    token-byte table, which is shipped to the tasks and no larger than the
+    vocabulary, position by position; nothing is shuffled. Null and empty lists
+    give an empty text; bytes that are no UTF-8, null ids and ids that the
+    vocabulary doesn't have give U+FFFD. Other columns are not looked at.
     """
-    encoded, table = encoded.select("doc_id", "ids"), token_table(encoded.sparkSession, path, vocabulary)
-    distinct = encoded.select("doc_id", F.explode(F.array_distinct("ids")).alias("id")).join(table, "id")
-    known = distinct.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "hex"))).alias("known"))
-    joined = encoded.join(known, "doc_id", "left")
-    text = F.array_join(F.transform("ids", lambda i: F.element_at("known", i)), "")
-    return joined.select("doc_id", F.coalesce(F.decode(F.unhex(text), "UTF-8"), F.lit("")).alias("text"))
+    rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("ids"), F.array()).cast("array<bigint>").alias("ids"))
+    shipped = encoded.sparkSession.sparkContext.broadcast(TokenBytes(ranks(path, vocabulary)))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            texts = shipped.value.texts(ids, offsets - offsets[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return rows.mapInArrow(decode, "doc_id BIGINT, text STRING")
 
 
 def token_counts(text: Column, path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from folioweave.llm import pairs as pairs_module
 from folioweave.llm.frequencies import marked, record_terms, term_frequencies
-from folioweave.llm.pairs import cooccurrences, gram
+from folioweave.llm.frequent import only_frequent
+from folioweave.llm.pairs import at_least_one_in, beyond_chance, cooccurrences, gram
 from folioweave.llm.subsequences import candidates, contained, frequent_subsequences, tree
 from folioweave.llm.terms import term, term_of, terms
 
@@ -94,12 +95,27 @@ BASKETS = [(RANDOM.choice("fg"), [RANDOM.choice("abcdefghij") for _ in range(RAN
 BASKETS += [("f", None), ("f", []), ("f", [None]), (None, ["a", "b"]), ("g", ["a", "a", None, "b"]), ("g", ["é", "Z", "a"])]
 
 
-def test_pairs_as_counted(spark, monkeypatch):
+def test_pairs_as_counted(spark):
     assert found_pairs(spark, BASKETS) == brute_pairs(BASKETS)
     expected = {k: v for k, v in brute_pairs(BASKETS).items() if v[0] >= 8 and v[0] * 10 >= v[3]}
     assert 0 < len(expected) and found_pairs(spark, BASKETS, least=8, one_in=10) == expected
-    monkeypatch.setattr(pairs_module, "MAX_SHIPPED_ITEMS", 1)
-    assert found_pairs(spark, BASKETS, least=8, one_in=10) == expected
+
+
+def test_rare_items_are_left_out_whatever_lets_the_filter_through(spark):
+    rows = spark.createDataFrame([("f", ["a", "rare", "b", "a"], 1), ("g", ["a", "b"], 2), ("g", [], 3)], "field_name STRING, items ARRAY<STRING>, n INT")
+    frequent = spark.createDataFrame([("f", "a"), ("f", "b"), ("g", "b")], "field_name STRING, item STRING")
+    assert [(r.items, r.n) for r in only_frequent(rows, frequent).orderBy("n").collect()] == [(["a", "b", "a"], 1), (["b"], 2), ([], 3)]
+    assert [r.items for r in only_frequent(rows, frequent.limit(0)).orderBy("n").collect()] == [[], [], []]
+    many = spark.range(60_000).select(F.lit("f").alias("field_name"), F.concat(F.lit("x"), "id").alias("item"))
+    few = only_frequent(rows.unionByName(many.select("field_name", F.array("item").alias("items"), F.lit(9).alias("n"))), many)
+    assert few.filter("n = 9 AND size(items) = 1").count() == 60_000 and few.filter("n < 9").select(F.explode("items")).count() <= 1
+
+
+def test_counts_of_billions(spark):
+    rows = [(3_000_000_000, 3_000_000_000, 3_000_000_000, 9_000_000_000), (1, 3_000_000_000, 3_000_000_000, 9_000_000_000), (2_000_000_000, 3_000_000_000, 3_000_000_000, 9_000_000_000), (1_999_999_999, 3_000_000_000, 3_000_000_000, 9_000_000_000)]
+    df = spark.createDataFrame(rows + [(2**62, 2**62, 2**62, 2**62)], "n_ab LONG, n_a LONG, n_b LONG, n LONG")
+    assert [r.x for r in df.select(beyond_chance(2).alias("x")).collect()] == [True, False, True, False, False]
+    assert [r.x for r in df.select(at_least_one_in(F.col("n_ab"), F.col("n"), 1000).alias("x")).collect()] == [True, False, True, True, True]
 
 
 def test_lift_and_empty(spark):

@@ -1,6 +1,7 @@
 """Encoding, packing and personal information."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from folioweave.llm import tokens as tokens_module
 from folioweave.llm.packing import Packer, fill_report, pack, parts
 from folioweave.llm.pii import expectation_maximisation, find_personal, fit, propose, redact, train
 from folioweave.llm.pii_rules import Finder, feature
-from folioweave.llm.tokens import TOKENIZERS, decode_corpus, encode_corpus, token_counts, word_encoder
+from folioweave.llm.tokens import TOKENIZERS, TokenBytes, decode_corpus, encode_corpus, ranks, token_counts, word_encoder
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -59,6 +60,35 @@ def test_round_trip_repeated_rows_and_null_ids(spark):
     assert {r.doc_id: r.n for r in counts} == {i: len(ids) for i, ids in encoded(spark, TEXTS).items()}
 
 
+def test_decoding_of_repeated_null_unknown_and_cut_off_ids(spark):
+    encode = word_encoder().encode_ordinary
+    half = [i for i in encode("\U0001f389") if i][:1]  # a part of a character's bytes
+    rows = [(1, encode("a b")), (1, encode("c")), (None, encode("d")), (2, half), (3, [10**6]), (4, None), (5, []), (6, [*encode("x"), None, -1])]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, ids ARRAY<INT>").withColumn("text", F.lit("mine"))
+    got = sorted((str(r.doc_id), r.text) for r in decode_corpus(df).collect())
+    assert got == sorted([("1", "a b"), ("1", "c"), ("None", "d"), ("2", "\ufffd"), ("3", "\ufffd"), ("4", ""), ("5", ""), ("6", "x\ufffd\ufffd")])
+    assert decode_corpus(df.limit(0)).count() == 0
+
+
+def test_decoding_takes_linear_time():
+    table = TokenBytes(ranks())
+    ids = np.arange(40_000) % 50_000
+    began = time.perf_counter()
+    table.texts(np.tile(ids, 25), np.array([0, 1_000_000]))
+    assert time.perf_counter() - began < 5
+
+
+def test_documents_out_of_a_shuffle(spark, reference):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id BIGINT, text STRING").repartition(3)
+    assert {r.doc_id: r.ids for r in encode_corpus(df).collect()} == {i: reference(t) if t else [] for i, t in enumerate(TEXTS)}
+
+
+@pytest.mark.parametrize("group", [1, 2])
+def test_groups_of_partitions(spark, reference, monkeypatch, group):
+    monkeypatch.setattr(tokens_module, "GROUP_PARTITIONS", group)
+    assert encoded(spark, TEXTS) == {i: reference(t) if t else [] for i, t in enumerate(TEXTS)}
+
+
 def test_encode_words_once():
     encode = word_encoder().encode_ordinary
     assert encode(" the") == encode(" the") and len(encode("x" * 100_000)) > 1
