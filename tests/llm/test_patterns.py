@@ -14,7 +14,7 @@ from folioweave.llm import pairs as pairs_module
 from folioweave.llm.frequencies import marked, record_terms, term_frequencies
 from folioweave.llm.frequent import only_frequent
 from folioweave.llm.pairs import at_least_one_in, beyond_chance, cooccurrences, gram
-from folioweave.llm.subsequences import candidates, contained, frequent_subsequences, tree
+from folioweave.llm.subsequences import candidates, contained, frequent_subsequences, ordered_pairs, tree
 from folioweave.llm.terms import term, term_of, terms
 
 
@@ -166,6 +166,26 @@ def test_subsequences_as_counted(spark, monkeypatch):
     assert longer == {k: n for k, n in expected.items() if len(k[1]) >= 3}
 
 
+def test_large_levels_are_joined_and_pruned_in_spark(spark, monkeypatch):
+    from folioweave.llm import subsequences
+
+    level = {("f", "a", "b"), ("f", "b", "a"), ("f", "a", "a"), ("f", "b", "c"), ("f", "a", "c"), ("g", "a", "b"), ("g", "b", "c")}
+    df = spark.createDataFrame([(f, list(p)) for f, *p in level], "field_name STRING, pattern ARRAY<STRING>")
+    expected = {(f, *c) for f in "fg" for c in candidates({tuple(p) for g, *p in level if g == f})}
+    assert {(r.field_name, *r.pattern) for r in subsequences.candidate_table(df).collect()} == expected and ("f", "a", "b", "c") in expected
+    monkeypatch.setattr(subsequences, "MAX_TREE", 18)
+    shared = [("f", list("abcdef"))] * 5  # 63 patterns, 20 in a level
+    assert found_patterns(spark, shared) == brute_patterns(shared, 3, 100)
+
+
+def test_closed_patterns(spark):
+    rows = [("f", list("abcde"))] * 4 + [("f", list("abc"))] * 3 + [("g", ["x"])] * 3
+    assert found_patterns(spark, rows, closed=True) == {("f", tuple("abcde")): 4, ("f", tuple("abc")): 7, ("g", ("x",)): 3}
+    every, kept = found_patterns(spark, SEQUENCES, one_in=20), found_patterns(spark, SEQUENCES, one_in=20, closed=True)
+    within = lambda p, q: all(x in it for it in [iter(q)] for x in p)
+    assert every == {(f, p): max(n for (g, q), n in kept.items() if f == g and within(p, q)) for f, p in every}
+
+
 def test_subsequences_of_nothing(spark):
     assert found_patterns(spark, [("f", None)]) == {} and found_patterns(spark, [("f", ["a"])] * 2) == {}
     df = spark.createDataFrame([("f", ["a"], 1)] * 3, "field_name STRING, items ARRAY<STRING>, n INT")
@@ -174,8 +194,9 @@ def test_subsequences_of_nothing(spark):
 
 
 def test_candidates_and_tree():
-    assert candidates({("a",), ("b",)}) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
-    assert candidates({("a", "b"), ("b", "c")}) == [] and candidates({("a", "b"), ("b", "c"), ("a", "c")}) == [("a", "b", "c")]
+    assert list(candidates({("a",), ("b",)})) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+    assert list(candidates({("a", "b"), ("b", "c")})) == [] and list(candidates({("a", "b"), ("b", "c"), ("a", "c")})) == [("a", "b", "c")]
+    assert sorted(ordered_pairs(list("abac"))) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "a"), ("b", "c")] and list(ordered_pairs(["a"])) == []
     patterns = [("a", "b"), ("a", "a"), ("b", "c", "a")]
     assert sorted(contained(tree(patterns), list("abxca"))) == [0, 1, 2] and list(contained(tree(patterns), [])) == []
     assert sorted(contained(tree(patterns), ["a"] * 100_000)) == [1]
