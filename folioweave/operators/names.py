@@ -12,9 +12,13 @@ NOISE = {"ml", "in", "inch", "inches", "cm", "mm", "pt", "page", "doc", "total",
 SYNONYMS = {"n": "count", "num": "count", "nr": "count", "no": "count", "number": "count", "sz": "size"}
 
 
+_VERSION = re.compile(r"(?<=[a-z])[_\-. ]?[vV]?\d+$")
+
+
 @lru_cache(100_000)
 def tokens(name: str) -> tuple[str, ...]:
-    """Lower-case words of a name in any case style, plurals cut."""
+    """Lower-case words of a name in any case style, plurals and a version's number at the end cut."""
+    name = _VERSION.sub("", name)
     words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)
     out = (SYNONYMS.get(w.lower(), w.lower()) for w in words)
     return tuple(w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in out)

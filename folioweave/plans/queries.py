@@ -242,6 +242,21 @@ def p1_structure_table(spark: SparkSession, sf: str) -> DataFrame:
     return _drift(spark, sf).table("structure")
 
 
+PARTS = {
+    "format": ["_export_metadata", "typography", "headings", "sections"],
+    "structure": ["_export_metadata", "document_metrics", "argument_sections", "citation_graph", "reasoning_patterns"],
+}
+
+
+def p1_parts_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the consistent tables that have each part; none is renamed here, so that every file that has it must count."""
+    drift, out = _drift(spark, sf), []
+    for spec_kind, parts in PARTS.items():
+        counts = [F.struct(F.lit(p).alias("part"), F.count(p).alias("n_files")) for p in parts]
+        out.append(drift.table(spec_kind).agg(F.array(*counts).alias("c")).select(F.lit(spec_kind).alias("spec_kind"), F.inline("c")))
+    return out[0].unionByName(out[1])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return parent_child_links(_read(spark, sf, "spec_files"))
 
@@ -287,6 +302,7 @@ QUERIES = {
     "p1_aliases": p1_aliases,
     "p1_format_table": p1_format_table,
     "p1_structure_table": p1_structure_table,
+    "p1_parts_kept": p1_parts_kept,
     "p5_found": p5_found,
 } | {
     f"p5_{n}": _p5(n)
@@ -388,7 +404,18 @@ _FALLBACK = (
 )
 _G = "citation_graph"
 
+_FILES = (
+    "file AS (SELECT file_id, spec_kind, raw_json::JSON AS j FROM spec_files WHERE json_valid(raw_json) "
+    "QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1)"
+)
+
 SQL = {
+    "p1_parts_kept": f"WITH {_FILES} "
+    + " UNION ALL ".join(
+        f"SELECT '{k}' AS spec_kind, '{p}' AS part, count(*) FILTER (coalesce(json_type(j, '$.{p}'), 'NULL') <> 'NULL') AS n_files FROM file WHERE spec_kind = '{k}'"
+        for k, parts in PARTS.items()
+        for p in parts
+    ),
     "q01_format_metadata": f"WITH {_F} SELECT spec_id, coalesce(_export_metadata.document_count, 0)::INT AS document_count, "
     "coalesce(_export_metadata.overall_confidence, 0)::DOUBLE AS overall_confidence FROM f",
     "q02_typography": f"WITH {_F} SELECT spec_id, {_T}.font_family.value AS font_family, coalesce({_T}.font_family.confidence, 0)::DOUBLE AS font_family_confidence, "

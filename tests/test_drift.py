@@ -1,4 +1,6 @@
+import itertools
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,6 +8,7 @@ from payloads import wrapped
 
 from folioweave import SpecDrift
 from folioweave.functions.jsontext import BROKEN, load, written
+from folioweave.functions.jsontext import kind as kind_of
 from folioweave.operators.drift import DEFAULT_SCOPE, Catalog, file_states
 from folioweave.operators.names import abbreviates, alias_cost
 
@@ -93,6 +96,8 @@ FORMAT_CASES = {
     "moved to the top": (doc(_export_metadata={"tags": []}, engine_version="1"), {("_export_metadata.engine_version", "renamed"), ("_export_metadata.tags", "added")}),
     "moved into an object": (doc(_export_metadata={"engine": {"version": "1"}}), {("_export_metadata.engine_version", "renamed")}),
     "boolean is no number": (doc(layout=layout(margin_top=wrapped(True))), {("layout.margin_top.value", "retyped")}),
+    "another version of the name": (without(doc(), "layout") | {"layout_v2": layout()}, {("layout", "renamed")}),
+    "a name with a dot": (doc(layout=layout() | {"margin_top.value": 1}), {("layout.margin_top.value", "added")}),
     "not an object": ([1], set()),
 }
 STRUCTURE_CASES = {
@@ -211,6 +216,68 @@ def test_consistent_table_reads_as_the_footers_do(spark):
     assert [h.level for h in rows[7].headings] == [2, None, 3]
 
 
+def test_arrays_lose_nothing(spark):
+    level = {"level": 1}
+    files = [
+        (1, "format", "a", 0, doc(headings=[level, json.dumps({"level": 2}), 7, None, {"level": "x"}, {"Level": "3"}])),
+        (2, "format", "a", 0, doc(headings=json.dumps([level]))),
+        (3, "format", "a", 0, doc(headings={"level": 4})),
+        (4, "format", "a", 0, doc(headings="none")),
+        (5, "format", "a", 0, doc(headings=None)),
+    ]
+    rows = {r.file_id: r.headings for r in drift(spark, files).table("format").collect()}
+    assert {i: h and [x and x.level for x in h] for i, h in rows.items()} == {1: [1, 2, None, None, None, 3], 2: [1], 3: [4], 4: [None], 5: None}
+
+
+def test_units_and_texts(spark):
+    mm = NO_MARGIN | {"margin_top_mm": wrapped(25.4)}
+    files = [
+        (1, "format", "a", 0, doc(layout=mm)),
+        (2, "format", "a", 0, doc(layout=layout(margin_top=wrapped(25.4) | {"unit": "mm"}))),
+        (3, "format", "a", 0, doc(layout=layout(margin_top=wrapped(1.0) | {"unit": "in"}))),
+        (4, "format", "a", 0, doc(layout=NO_MARGIN | {"margin_top_in": wrapped(1.0)})),
+        (5, "format", "a", 0, doc(layout=layout(margin_top="2.54cm"))),
+    ]
+    files += [(6, "structure", "a", 0, metrics(total_page_count={"body": 5, "appendix": 2}) | {"citation_graph": {"by_section": {"a": 1, "b": {"note": "rev 7"}}}})]
+    d = drift(spark, files)
+    assert {r.layout.margin_top.value for r in d.table("format").collect()} == {1.0}
+    (r,) = d.table("structure").collect()
+    assert r.document_metrics.total_page_count == 7 and r.citation_graph.by_section == {"a": "1", "b": '{"note": "rev 7"}'}
+
+
+def test_aliases_count_where_they_were_seen(spark):
+    """``pages`` is the count of pages in one file and an added field beside the count in another."""
+    files = [(1, "structure", "a", 0, metrics(pages=7)), (2, "structure", "b", 0, metrics(total_page_count=None, pages=9)), (3, "structure", "a", 1, metrics(total_page_count=3, pages=9))]
+    d = drift(spark, files)
+    assert {r.file_id: r.document_metrics.total_page_count for r in d.table("structure").collect()} == {1: 7, 2: None, 3: 3}
+    assert [(r.producer, r.alias_path, r.n_files) for r in d.aliases().collect()] == [("a", "document_metrics.pages", 1)]
+
+
+def test_lifespans_over_partitions_are_whole(spark):
+    rng = random.Random(4)
+    shapes = [metrics(total_page_count=1), metrics(total_page_count="1"), metrics(total_page_count=None), metrics(pages=2)]
+    files = [(i, "structure", rng.choice("ab"), i, shapes[0] if i % 60 < 40 else rng.choice(shapes)) for i in range(300)]
+    d = drift(spark, files)
+    expected = []
+    for producer in "ab":
+        own = [(("absent" if "pages" in x["document_metrics"] else kind_of(x["document_metrics"]["total_page_count"])), T0 + timedelta(hours=h)) for _, _, c, h, x in files if c == producer]
+        runs = [(k, [t for _, t in g]) for k, g in itertools.groupby(own, key=lambda x: x[0])]
+        ends = [r[1][0] for r in runs[1:]] + [None]
+        expected += [(producer, None if k == "absent" else k, ts[0], ts[-1], end, len(ts)) for (k, ts), end in zip(runs, ends, strict=True)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = d.lifespans().filter("field_path = 'document_metrics.total_page_count'").collect()
+        assert len({r.run >> 32 for r in d.islands().select("run").collect()}) > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(str, [(r.producer, r.json_type, r.started_at, r.last_at, r.ended_at, r.n_files) for r in rows])) == sorted(map(str, expected))
+    assert {(r.json_type, r.state) for r in rows} == {("integer", "ok"), ("string", "retyped"), ("null", "null"), (None, "renamed")}
+
+
 def test_written_json():
     text = '{"a": [1.50, -0, 1e400, NaN, "é\\n", true, null, {}, []], "b": {"c": [{"d": "x"}, []]}}'
     assert written(load(text, literal=True)) == text
