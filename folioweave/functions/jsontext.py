@@ -63,7 +63,9 @@ def scalar_text(value: object) -> str | None:
     """Text of a scalar: strings as they are, others as JSON; null for null."""
     if value is None:
         return None
-    return clean(value) if isinstance(value, str) else json.dumps(value)
+    if isinstance(value, str):
+        return clean(value)
+    return str(value) if type(value) is int else json.dumps(value)
 
 
 def written(value: object) -> str:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, key: str, received: str = "received_at") -> DataFrame:
+def latest(df: DataFrame, key: str, received: str = "received_at", tie: str | None = None) -> DataFrame:
     """The last received row of each key.
 
-    Rows received together are told apart by a hash of all their columns, so
+    Rows received together are told apart by the column ``tie``, a hash of all
+    their columns unless given, so
     the choice doesn't depend on the order of the rows. Rows with a null key
     are kept once for each distinct content. A null time is the earliest; no
     rows give none; the columns may have any names. Only the first row of a key in
@@ -19,7 +20,7 @@ def latest(df: DataFrame, key: str, received: str = "received_at") -> DataFrame:
     content, alone, n = (_unused(df, c) for c in ("content", "alone", "n"))
     first = Window.partitionBy(key, alone).orderBy(F.col(received).desc_nulls_last(), content)
     return (
-        df.withColumn(content, F.xxhash64(*[_hashable(df, c) for c in df.columns]))
+        df.withColumn(content, F.xxhash64(*[_hashable(df, c) for c in df.columns]) if tie is None else F.col(tie))
         .withColumn(alone, F.when(F.col(key).isNull(), F.col(content)))
         .withColumn(n, F.row_number().over(first))
         .filter(F.col(n) == 1)

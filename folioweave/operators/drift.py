@@ -380,6 +380,7 @@ class SpecDrift:
             "spec_kind",
             F.coalesce(F.col(producer), F.lit("(none)")).alias("producer"),
             F.col("received_at").cast("timestamp").alias("received_at"),
+            F.xxhash64("raw_json").alias("content"),
             "raw_json",
         )
 
@@ -388,9 +389,9 @@ class SpecDrift:
         catalogs, scope = self.catalogs, self.scope
         parsed = self.files.mapInArrow(
             lambda batches: _footer_batches(batches, catalogs, scope),
-            "file STRING, spec_kind STRING, producer STRING, received_at TIMESTAMP, is_json BOOLEAN, fields ARRAY<STRUCT<path: STRING, json_type: STRING>>",
+            "file STRING, spec_kind STRING, producer STRING, received_at TIMESTAMP, content BIGINT, is_json BOOLEAN, fields ARRAY<STRUCT<path: STRING, json_type: STRING>>",
         )
-        return latest(parsed, "file")  # after the parse, when rows are small
+        return latest(parsed, "file", tie="content").drop("content")  # after the parse, when rows are small
 
     def islands(self) -> DataFrame:
         """Runs of files of one producer in which a field has one type, as far as a partition holds them.
@@ -490,7 +491,7 @@ class SpecDrift:
         be cast is null, by itself. A part is null only where the file has none.
         """
         cat = self.catalogs[spec_kind]
-        files = latest(self.files.filter(F.col("spec_kind") == spec_kind), "file")
+        files = latest(self.files.filter(F.col("spec_kind") == spec_kind), "file", tie="content")
         renamed = self.states().filter((F.col("change_kind") == "renamed") & (F.col("spec_kind") == spec_kind))
         moved = renamed.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "alias_path"))).alias("moved"))
         joined = files.join(moved, "file", "left").select("file", "producer", "received_at", "raw_json", "moved")

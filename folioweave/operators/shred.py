@@ -1,20 +1,23 @@
 """Nested JSON specs as flat tables, by an adjacency table.
 
 ``adjacency`` turns each file into rows (file, node, parent, label, ordinal,
-scalar). The entity tables join its object nodes with their scalar children,
-pivoted by label. A node is named by its path in the file, so every row of
-every table tells its file, its parent and its place.
+scalar), one for every node that it holds. The entity tables join its object
+nodes with their scalar children, pivoted by label. A node is named by its path
+in the file, so every row of every table tells its file, its parent and its place.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.functions.jsontext import BROKEN, clean, held, load, scalar_text
+from folioweave.functions.jsontext import BROKEN, clean, held, kind, load, scalar_text
 from folioweave.operators.deliveries import latest
 
 # The nested parts and what they hold.
@@ -28,156 +31,205 @@ SECTION_SCALARS = {
 GRAPH_SCALARS = {"total_citations": "int", "unique_authorities": "int", "citation_density": "double", "pinpoint_rate": "double"}
 GRAPH_MAPS = ["by_section", "signal_distribution", "court_distribution"]
 
-NODE_FIELDS = "node STRING, parent STRING, label STRING, ordinal INT, role STRING, scalar STRING"
+#: What a node's children are by their labels: (shape due there, role). Shapes: object, array (of objects), wrapped
+#: (a value with its statistics, or bare), list (of scalars), map (of scalars by free keys), scalar.
+GRAMMAR: dict[str, dict[str, tuple[str, str]]] = {
+    "document": {
+        "typography": ("object", "typography"),
+        "headings": ("array", "heading"),
+        "argument_sections": ("array", "section"),
+        "citation_graph": ("object", "citation_graph"),
+    },
+    "typography": {n: ("wrapped", "typography_field") for n in TYPOGRAPHY_FIELDS},
+    "heading": {"level": ("scalar", "scalar")} | {n: ("wrapped", "heading_field") for n in HEADING_FIELDS},
+    "section": {n: ("scalar", "scalar") for n in SECTION_SCALARS} | {"reasoning_flow": ("list", "step"), "argument_sections": ("array", "section")},
+    "citation_graph": {n: ("scalar", "scalar") for n in GRAPH_SCALARS} | {n: ("map", "count") for n in GRAPH_MAPS},
+    "typography_field": {n: ("scalar", "scalar") for n in WRAPPED},
+    "heading_field": {n: ("scalar", "scalar") for n in WRAPPED},
+}
+_ANY = ("any", None)
+_SCALARS = ("scalar", "step", "count")
+#: Shapes in whose place a string that holds JSON counts as that.
+_OPENED = ("object", "array", "element", "wrapped", "list", "map")
+
+#: Columns of the adjacency table; numbers link a node with the one that holds it.
+_COLUMNS = {
+    "node_no": ("INT", pa.int32()),
+    "parent_no": ("INT", pa.int32()),
+    "node": ("STRING", pa.string()),
+    "parent": ("STRING", pa.string()),
+    "label": ("STRING", pa.string()),
+    "ordinal": ("INT", pa.int32()),
+    "kind": ("STRING", pa.string()),
+    "role": ("STRING", pa.string()),
+    "scalar": ("STRING", pa.string()),
+}
 _BATCH_NODES = 50_000
 
 
-def nodes(doc: object) -> Iterator[tuple[str, str, str, int | None, str, str | None]]:
-    """Adjacency rows of one parsed file: node, parent, label, ordinal, role, scalar.
+def nodes(doc: object, every: bool = True) -> Iterator[tuple]:
+    """Adjacency rows of one parsed file, a row for each node: the values of ``_COLUMNS``.
 
-    Roles are the entity tables' names, ``scalar`` for a scalar child. Nulls give
-    no row but count in ordinals. A string holding JSON counts as that JSON, an
-    object where an array is due as an array of one; anything else of a wrong
-    shape is left out.
+    ``label`` and ``ordinal`` tell a node's key or place in the one that holds it,
+    ``kind`` its JSON type, ``scalar`` its text; with the numbers, a file can be
+    put together again (see ``rebuilt``). ``node`` names it by its path, ``parent``
+    the entity it belongs to: what holds it, but for elements of the arrays
+    and maps of ``GRAMMAR`` the owner of these. ``role`` is what it is by ``GRAMMAR``.
+    There, an object where an array is due counts as an array of one, and a
+    string that holds JSON has that for its child, which has the role. Nulls
+    have no role but count in ordinals. Unless ``every``, only nodes with a role
+    come out, as the flat tables need no other.
     """
     if not isinstance(doc, dict):
         return
-
-    def scalars(path: str, obj: dict, names: object) -> Iterator[tuple]:
-        for name in names:
-            x = obj.get(name)
-            if x is not None:
-                yield f"{path}.{name}", path, name, None, "scalar", scalar_text(x)
-
-    def wrapped(path: str, obj: dict, names: list[str], role: str) -> Iterator[tuple]:
-        for name in names:
-            x = held(obj.get(name))
-            if x is None:
-                continue
-            at = f"{path}.{name}"
-            yield at, path, name, None, role, None
-            yield from scalars(at, x if isinstance(x, dict) else {"value": x}, WRAPPED)
-
-    typography = held(doc.get("typography"))
-    if isinstance(typography, dict):
-        yield "typography", "$", "typography", None, "typography", None
-        yield from wrapped("typography", typography, TYPOGRAPHY_FIELDS, "typography_field")
-
-    for i, x in elements(doc.get("headings")):
-        at = f"headings[{i}]"
-        yield at, "$", "headings", i, "heading", None
-        yield from scalars(at, x, ["level"])
-        yield from wrapped(at, x, HEADING_FIELDS, "heading_field")
-
-    waiting = [("$", "", doc)]
+    number = itertools.count()
+    waiting: list[tuple] = [(doc, None, "$", None, None, None, ("object", "document"))]
     while waiting:
-        parent, prefix, obj = waiting.pop()
-        for i, x in elements(obj.get("argument_sections")):
-            at = f"{prefix}argument_sections[{i}]"
-            yield at, parent, "argument_sections", i, "section", None
-            yield from scalars(at, x, SECTION_SCALARS)
-            steps = held(x.get("reasoning_flow"))
-            for j, step in enumerate(steps if isinstance(steps, list) else []):
-                if step is not None:
-                    yield f"{at}.reasoning_flow[{j}]", at, "reasoning_flow", j, "step", scalar_text(step)
-            waiting.append((at, f"{at}.", x))
-
-    graph = held(doc.get("citation_graph"))
-    if isinstance(graph, dict):
-        yield "citation_graph", "$", "citation_graph", None, "citation_graph", None
-        yield from scalars("citation_graph", graph, GRAPH_SCALARS)
-        for name in GRAPH_MAPS:
-            counts = held(graph.get(name))
-            for key, n in (counts if isinstance(counts, dict) else {}).items():
-                if n is not None:
-                    key = clean(key)
-                    yield f"citation_graph.{name}[{key}]", "citation_graph", name, None, "count", scalar_text(n)
-
-
-def elements(value: object) -> Iterator[tuple[int, dict]]:
-    """The objects of a (held) array with their places; an object alone is an array of one."""
-    value = held(value)
-    for i, x in enumerate(value if isinstance(value, list) else [value]):
-        x = held(x)
-        if isinstance(x, dict):
-            yield i, x
-
-
-def _shred_batches(batches: Iterator[pa.RecordBatch], keep: pa.Schema) -> Iterator[pa.RecordBatch]:
+        value, holder, path, parent, label, ordinal, (shape, role) = waiting.pop()
+        no = next(number)
+        if isinstance(value, str) and shape in _OPENED:
+            inner = held(value)
+            if inner is not value:
+                if every:
+                    yield no, holder, path, parent, label, ordinal, "string", None, clean(value)
+                value, holder, no = inner, no, next(number)
+        is_dict, is_list = isinstance(value, dict), isinstance(value, list)
+        if is_dict and shape == "array":
+            path, ordinal, shape = f"{path}[0]", 0, "element"
+        here = None
+        if shape in ("object", "element"):
+            here = role if is_dict else None
+        elif shape in ("wrapped", "scalar", "value") and value is not None:
+            here = role
+        if every or (here is not None and here != "document"):
+            text = scalar_text(value) if not (is_dict or is_list) or here in _SCALARS or (here and is_list) else None
+            yield no, holder, path, parent, label, ordinal, kind(value), here, text
+        if is_dict:
+            known = GRAMMAR.get(here, {}) if here else {}
+            below = value.items() if every or shape == "map" or len(value) < len(known) else [(n, value[n]) for n in known if n in value]
+            for name, x in below:
+                name = clean(name)
+                if shape == "map":
+                    waiting.append((x, no, f"{path}[{name}]", parent, name, None, ("value", role)))
+                elif every or name in known:
+                    waiting.append((x, no, name if path == "$" else f"{path}.{name}", path, name, None, known.get(name, _ANY)))
+        elif is_list:
+            due = {"array": ("element", role), "list": ("value", role)}.get(shape, _ANY)
+            if every or due is not _ANY:
+                for i, x in enumerate(value):
+                    waiting.append((x, no, f"{path}[{i}]", path if due is _ANY else parent, label, i, due))
+
+
+def rebuilt(rows: list[tuple]) -> object:
+    """The parsed file of all its adjacency rows; lone surrogates came out as U+FFFD."""
+    below: dict[int | None, list[tuple]] = defaultdict(list)
+    for row in rows:
+        below[row[1]].append(row)
+    values: dict[int, object] = {}
+    for no, _, _, _, _, _, what, _, text in sorted(rows, reverse=True):  # what a node holds has greater numbers
+        if what == "object":
+            values[no] = {row[4]: values[row[0]] for row in below[no]}
+        elif what == "array":
+            values[no] = [values[row[0]] for row in sorted(below[no], key=lambda r: r[5])]
+        else:
+            values[no] = text if what == "string" or text is None else json.loads(text)
+    return values[0]
+
+
+def _shred_batches(batches: Iterator[pa.RecordBatch], columns: list[str], every: bool) -> Iterator[pa.RecordBatch]:
+    at = [list(_COLUMNS).index(c) for c in columns]
+    item = pa.struct([(c, _COLUMNS[c][1]) for c in columns])
+
+    def told(batch: pa.RecordBatch, rows: list[tuple], ends: list[int], low: int, high: int) -> pa.RecordBatch:
+        kept = batch.drop_columns(["raw_json"]).slice(low, high - low)
+        by_column = list(zip(*rows, strict=True)) if rows else [()] * len(_COLUMNS)
+        structs = pa.StructArray.from_arrays([pa.array(by_column[i], f.type) for i, f in zip(at, item, strict=True)], fields=list(item))
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=[*kept.schema.names, "nodes"])
+
     for batch in batches:
-        rows: list[list] = [[] for _ in keep]
-        for file_id, text, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows, ends, low = [], [0], 0
+        for i, text in enumerate(batch.column("raw_json").to_pylist()):
             doc = load(text)
-            if doc is BROKEN:
-                continue
-            for row in nodes(doc):
-                for column, x in zip(rows, (file_id, content, *row), strict=True):
-                    column.append(x)
-            if len(rows[0]) >= _BATCH_NODES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, keep, strict=True)], schema=keep)
-                rows = [[] for _ in keep]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, keep, strict=True)], schema=keep)
+            if doc is not BROKEN:
+                rows += nodes(doc, every)
+            ends.append(len(rows))
+            if len(rows) >= _BATCH_NODES:
+                yield told(batch, rows, ends, low, i + 1)
+                rows, ends, low = [], [0], i + 1
+        yield told(batch, rows, ends, low, batch.num_rows)
+
+
+def _adjacency(files: DataFrame, columns: list[str], every: bool) -> DataFrame:
+    """Adjacency rows under the file's name: its id, or a hash of what it holds. Files are parsed where they are read; what
+    is shuffled, once, are the nodes of each file, which the tables' grouping then finds together."""
+    received = F.col("received_at").cast("string")
+    content = F.concat(F.lit("?"), F.sha2(F.concat_ws(" ", received, "raw_json"), 256))
+    one = files.select(
+        F.coalesce(F.col("file_id").cast("bigint").cast("string"), content).alias("file"), "received_at", F.xxhash64("raw_json").alias("content"), "raw_json"
+    )
+    kept = ", ".join(f"{n}: {t}" for n, t in one.drop("raw_json").dtypes)
+    struct = ", ".join(f"{c}: {_COLUMNS[c][0]}" for c in columns)
+    shredded = one.mapInArrow(lambda batches: _shred_batches(batches, columns, every), f"{kept.replace(':', '')}, nodes ARRAY<STRUCT<{struct}>>")
+    return latest(shredded, "file", tie="content").select("file", F.inline("nodes"))
+
+
+def _with_id(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("file").try_cast("bigint").alias("file_id"), *[c for c in rows.columns if c != "file"])
 
 
 def adjacency(files: DataFrame) -> DataFrame:
-    """Adjacency rows of the files' nested parts: file_id, node, parent, label, ordinal, role, scalar.
+    """Adjacency rows of all that the files hold: file_id, and for every node those of ``nodes``.
 
     ``files`` has file_id, received_at and raw_json. Of a file delivered again
     the latest row counts (of rows received together, one by content). Null,
     empty, broken or non-object text gives no rows, nor does an empty table.
     Texts are read whole; other columns, whatever their names, are not looked at.
     """
-    return _adjacency(files).drop(_FILE)
-
-
-def _adjacency(files: DataFrame) -> DataFrame:
-    """Adjacency rows with what tells files without an id apart."""
-    one = latest(files.select("file_id", "received_at", "raw_json"), "file_id")
-    content = F.when(F.col("file_id").isNull(), F.sha2(F.concat_ws(" ", F.col("received_at").cast("string"), "raw_json"), 256))
-    one = one.select("file_id", "raw_json", content.alias(_FILE))
-    text, integer = pa.string(), pa.int32()
-    keep = pa.schema(
-        [("file_id", pa.int64()), (_FILE, text)]
-        + [(n, integer if n == "ordinal" else text) for n in ("node", "parent", "label", "ordinal", "role", "scalar")]
-    )
-    return one.withColumn("file_id", F.col("file_id").cast("bigint")).mapInArrow(
-        lambda batches: _shred_batches(batches, keep), f"file_id BIGINT, {_FILE} STRING, {NODE_FIELDS}"
-    )
+    return _with_id(_adjacency(files, list(_COLUMNS), every=True))
 
 
-_FILE = "_file"  # content hash of a file without an id, null for the others
 _PIVOTED = list(WRAPPED | {"level": "int"} | SECTION_SCALARS | GRAPH_SCALARS)
+_NEEDED = ["node", "parent", "label", "ordinal", "role", "scalar"]
 
 
 def entities(files: DataFrame) -> DataFrame:
     """Every entity of the nested parts, its scalar children pivoted beside it.
 
-    Object nodes meet their scalar children by one shuffle on (file_id, node),
-    to which an object row brings its place and a scalar row its value: the
-    join of the adjacency table with itself without a second pass over it.
-    Columns: file_id, node, parent, label, ordinal, role, scalar (of steps and
-    counts), then one text column for each scalar label. Files without an id
-    are told apart by their content.
+    Object nodes meet their scalar children by file and node, to which an object
+    row brings its place and a scalar row its value: the join of the adjacency
+    table with itself, without a second pass over it and without a shuffle, as
+    a file's nodes are together already.
+    Columns: file_id, node, parent, label, ordinal, role, scalar (of steps, counts
+    and bare values), then one text column for each scalar label. Files without
+    an id are told apart by their content.
     """
-    return _grouped(_adjacency(files), "file_id", _FILE)
-
-
-def _grouped(adj: DataFrame, *keys: str) -> DataFrame:
+    adj = _adjacency(files, _NEEDED, every=False)
     is_scalar = F.col("role") == "scalar"
     place = F.struct("role", "parent", "label", "ordinal", "scalar")
-    grouped = adj.groupBy(*keys, F.when(is_scalar, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(
+    grouped = adj.groupBy("file", F.when(is_scalar, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(
         F.max(F.when(~is_scalar, place)).alias("_o"),
         *[F.max(F.when(is_scalar & (F.col("label") == n), F.col("scalar"))).alias(n) for n in _PIVOTED],
     )
-    return grouped.select("file_id", "node", "_o.*", *_PIVOTED)
+    return _with_id(grouped.select("file", "node", "_o.*", *_PIVOTED))
+
+
+def other_fields(files: DataFrame) -> DataFrame:
+    """What the parts hold beside the columns of the flat tables: file_id, node, parent, label, ordinal, kind, scalar.
+
+    A row for each scalar in typography, headings, argument sections and the
+    citation graph that no flat table has; nulls give none.
+    """
+    rows = adjacency(files).filter("role IS NULL AND kind NOT IN ('object', 'array', 'null')")
+    part = F.regexp_extract("node", r"^\w+", 0).isin(list(GRAMMAR["document"]))
+    return rows.filter(part).select("file_id", "node", "parent", "label", "ordinal", "kind", "scalar")
 
 
 def shred(files: DataFrame) -> dict[str, DataFrame]:
     """The flat tables of the nested parts, by name; each has file_id, node and parent.
 
     typography, typography_fields, headings, heading_fields, sections, steps,
-    citation_graph, citation_counts. Sections within sections are rows of
-    ``sections`` whose parent is a section. Files without an id have rows of
+    citation_graph, citation_counts; ``other_fields`` has what none of them has.
+    Sections within sections are rows of ``sections`` whose parent is a section. Files without an id have rows of
     their own, told apart by the files' content. Every table is lazy; write
     ``entities`` first to fill several of them from one pass.
     """
@@ -187,25 +239,26 @@ def shred(files: DataFrame) -> dict[str, DataFrame]:
 def tables(all_entities: DataFrame) -> dict[str, DataFrame]:
     """The flat tables of :func:`shred`, of the rows of :func:`entities`."""
 
-    def table(role: str, scalars: dict[str, str], *extra: object) -> DataFrame:
-        typed = [F.col(n).try_cast(t).alias(n) for n, t in scalars.items()]
+    def table(role: str, scalars: dict[str, str], *extra: object, **texts: Column) -> DataFrame:
+        typed = [texts.get(n, F.col(n)).try_cast(t).alias(n) for n, t in scalars.items()]
         return all_entities.filter(F.col("role") == role).select("file_id", "node", "parent", *extra, *typed)
 
-    field, key = F.col("label").alias("field"), F.regexp_extract("node", r"(?s)^citation_graph\.\w+\[(.*)\]$", 1).alias("key")
+    field, bare = F.col("label").alias("field"), {"value": F.coalesce("value", "scalar")}
     return {
         "typography": table("typography", {}),
-        "typography_fields": table("typography_field", WRAPPED, field),
+        "typography_fields": table("typography_field", WRAPPED, field, **bare),
         "headings": table("heading", {"level": "int"}, "ordinal"),
-        "heading_fields": table("heading_field", WRAPPED, field),
+        "heading_fields": table("heading_field", WRAPPED, field, **bare),
         "sections": table("section", SECTION_SCALARS, "ordinal"),
         "steps": table("step", {}, "ordinal", F.col("scalar").alias("step")),
         "citation_graph": table("citation_graph", GRAPH_SCALARS),
-        "citation_counts": table("count", {}, F.col("label").alias("map_name"), key, F.col("scalar").try_cast("int").alias("n")),
+        "citation_counts": table(
+            "count", {}, F.regexp_extract("node", r"^citation_graph\.(\w+)", 1).alias("map_name"), F.col("label").alias("key"), F.col("scalar").try_cast("int").alias("n")
+        ),
     }
 
 
 def parent_child_links(files: DataFrame) -> DataFrame:
     """Distinct (file_id, parent_path, child_path) of the rows of all flat tables."""
-    return _grouped(adjacency(files), "file_id").filter("role IS NOT NULL").select(
-        "file_id", F.col("parent").alias("parent_path"), F.col("node").alias("child_path")
-    )
+    rows = entities(files).filter("role IS NOT NULL").select("file_id", F.col("parent").alias("parent_path"), F.col("node").alias("child_path"))
+    return rows.filter("file_id IS NOT NULL").unionByName(rows.filter("file_id IS NULL").distinct())

@@ -19,7 +19,7 @@ from folioweave.operators.cascade import (
 from folioweave.operators.deliveries import latest
 from folioweave.operators.drift import SpecDrift
 from folioweave.operators.outline import best_model, suggest_outline
-from folioweave.operators.shred import entities, parent_child_links, tables
+from folioweave.operators.shred import adjacency, entities, other_fields, parent_child_links, tables
 from folioweave.schemas import BUILT_IN_DEFAULTS, COMPONENT_DESCRIPTIONS
 from folioweave.sources.specs import parse_format_specs, parse_structure_specs
 
@@ -261,6 +261,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return parent_child_links(_read(spark, sf, "spec_files"))
 
 
+def p5_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole adjacency table."""
+    return adjacency(_read(spark, sf, "spec_files"))
+
+
+def p5_other_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return other_fields(_read(spark, sf, "spec_files"))
+
+
 def _p5(name: str):  # noqa: ANN202
     def query(spark: SparkSession, sf: str) -> DataFrame:
         return tables(entities(_read(spark, sf, "spec_files")))[name]
@@ -304,6 +313,8 @@ QUERIES = {
     "p1_structure_table": p1_structure_table,
     "p1_parts_kept": p1_parts_kept,
     "p5_found": p5_found,
+    "p5_nodes": p5_nodes,
+    "p5_other_fields": p5_other_fields,
 } | {
     f"p5_{n}": _p5(n)
     for n in (
@@ -409,7 +420,59 @@ _FILES = (
     "QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1)"
 )
 
+def _held(x: str) -> str:
+    """What a string that holds JSON holds, else the value."""
+    inner = f"({x} ->> '$')"
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({inner}, '^\\s*[\\[{{]') AND json_valid({inner}) THEN {inner}::JSON ELSE {x} END"
+
+
+def _items(x: str) -> str:
+    """Elements of an array, an object alone as an array of one."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _int(x: str) -> str:
+    return f"CASE WHEN regexp_full_match(trim({x}), '[+-]?\\d+') THEN try_cast({x} AS INT) END"
+
+
+_HEADINGS_SQL = (
+    f"WITH {_FILES}, a AS (SELECT file_id, {_held('(j -> ' + chr(39) + '$.headings' + chr(39) + ')')} AS a FROM file), l AS (SELECT file_id, {_items('a')} AS l FROM a), "
+    f"e AS (SELECT file_id, i - 1 AS i, l[i] AS x FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l)), h AS (SELECT file_id, i, {_held('x')} AS h FROM e) "
+    f"SELECT file_id, 'headings[' || i || ']' AS node, '$' AS parent, i::INT AS ordinal, {_int('(h ->> ' + chr(39) + '$.level' + chr(39) + ')')} AS level "
+    "FROM h WHERE json_type(h) = 'OBJECT'"
+)
+# Sections in sections, by levels: an object's sections are opened until none are left.
+_SECTION_ROWS = (
+    f"WITH RECURSIVE {_FILES}, sec AS (SELECT file_id, NULL::VARCHAR AS node, NULL::VARCHAR AS parent, NULL::BIGINT AS ordinal, j AS s FROM file UNION ALL "
+    f"SELECT file_id, node, parent, i, s FROM (SELECT file_id, coalesce(node || '.', '') || 'argument_sections[' || (i - 1) || ']' AS node, coalesce(node, '$') AS parent, "
+    f"i - 1 AS i, {_held('l[i]')} AS s FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT file_id, node, {_items('a')} AS l FROM "
+    f"(SELECT file_id, node, {_held('(s -> ' + chr(39) + '$.argument_sections' + chr(39) + ')')} AS a FROM sec)))) WHERE json_type(s) = 'OBJECT')"
+)
+_SECTIONS_FLAT = (
+    f"{_SECTION_ROWS} SELECT file_id, node, parent, ordinal::INT AS ordinal, "
+    + ", ".join(f"s ->> '$.{c}' AS {c}" for c in ("id", "section_type", "argument_type", "standard_of_review"))
+    + ", "
+    + ", ".join(f"{_int('(s ->> ' + chr(39) + '$.' + c + chr(39) + ')')} AS {c}" for c in ("citation_count", "word_count", "depth"))
+    + " FROM sec WHERE node IS NOT NULL"
+)
+_STEPS_FLAT = (
+    f"{_SECTION_ROWS}, f AS (SELECT file_id, node, {_held('(s -> ' + chr(39) + '$.reasoning_flow' + chr(39) + ')')} AS f FROM sec WHERE node IS NOT NULL), "
+    "t AS (SELECT file_id, node, unnest(json_extract(f, '$[*]')) AS x, unnest(range(json_array_length(f)::BIGINT)) AS i FROM f WHERE json_type(f) = 'ARRAY') "
+    "SELECT file_id, node || '.reasoning_flow[' || i || ']' AS node, node AS parent, i::INT AS ordinal, x ->> '$' AS step FROM t WHERE json_type(x) <> 'NULL'"
+)
+_COUNTS_FLAT = (
+    f"WITH {_FILES}, g AS (SELECT file_id, {_held('(j -> ' + chr(39) + '$.citation_graph' + chr(39) + ')')} AS g FROM file), m AS ("
+    + " UNION ALL ".join(f"SELECT file_id, '{m}' AS map_name, {_held('(g -> ' + chr(39) + '$.' + m + chr(39) + ')')} AS m FROM g" for m in ("by_section", "signal_distribution", "court_distribution"))
+    + "), k AS (SELECT file_id, map_name, unnest(map_entries(m::MAP(VARCHAR, JSON))) AS e FROM m WHERE json_type(m) = 'OBJECT') "
+    "SELECT file_id, 'citation_graph.' || map_name || '[' || e.key || ']' AS node, 'citation_graph' AS parent, map_name, e.key AS key, "
+    f"{_int('(e.value ->> ' + chr(39) + '$' + chr(39) + ')')} AS n FROM k WHERE coalesce(json_type(e.value), 'NULL') <> 'NULL'"
+)
+
 SQL = {
+    "p5_headings": _HEADINGS_SQL,
+    "p5_sections": _SECTIONS_FLAT,
+    "p5_steps": _STEPS_FLAT,
+    "p5_citation_counts": _COUNTS_FLAT,
     "p1_parts_kept": f"WITH {_FILES} "
     + " UNION ALL ".join(
         f"SELECT '{k}' AS spec_kind, '{p}' AS part, count(*) FILTER (coalesce(json_type(j, '$.{p}'), 'NULL') <> 'NULL') AS n_files FROM file WHERE spec_kind = '{k}'"

@@ -1,10 +1,13 @@
 import json
 from datetime import datetime
 
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from payloads import format_doc, pattern, section, structure_doc, wrapped
 
 from folioweave import shred
-from folioweave.operators.shred import parent_child_links
+from folioweave.operators.shred import adjacency, nodes, other_fields, parent_child_links, rebuilt
 
 
 def files(spark, *docs):
@@ -89,3 +92,42 @@ def test_files_without_an_id_have_rows_of_their_own(spark):
     docs = [{"headings": [{"level": 1}]}, {"headings": [{"level": 2}, {}]}]
     rows = shred(files(spark, *[(None, d) for d in docs * 2]))["headings"].collect()
     assert sorted((r.ordinal, r.level or 0) for r in rows) == [(0, 1), (0, 2), (1, 0)]
+
+
+SCALARS = st.one_of(st.none(), st.booleans(), st.integers(-(10**20), 10**20), st.floats(allow_nan=False), st.text(max_size=6), st.sampled_from(['{"a": [1]}', "[", '["x"]', "{}"]))
+NAMES = st.one_of(st.text(max_size=4), st.sampled_from(["headings", "argument_sections", "typography", "font_family", "reasoning_flow", "citation_graph", "by_section", "value", "bold", "level"]))
+JSON = st.recursive(SCALARS, lambda x: st.one_of(st.lists(x, max_size=4), st.dictionaries(NAMES, x, max_size=5)), max_leaves=25)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(NAMES, JSON, max_size=6))
+def test_files_are_rebuilt_from_their_nodes(doc):
+    doc = json.loads(json.dumps(doc).encode("utf-8", "surrogatepass"))
+    rows = list(nodes(doc))
+    assert rebuilt(rows) == doc
+    assert len({r[0] for r in rows}) == len(rows)
+    told = lambda rows: sorted(map(str, (r[2:6] + r[7:] for r in rows if r[7] not in (None, "document"))))
+    assert told(rows) == told(nodes(doc, every=False))
+
+
+def test_fields_that_no_table_lists_are_kept(spark):
+    doc = {"headings": [{"level": 1, "color": "red", "case_style": wrapped("upper") | {"source": [1, None]}}], "argument_sections": [section("a", tags=["x"], authors={"first": "y"})], "other": 1}
+    df = files(spark, (1, doc))
+    assert {(r.parent, r.node, r.kind, r.scalar) for r in other_fields(df).collect()} == {
+        ("headings[0]", "headings[0].color", "string", "red"), ("headings[0].case_style.source", "headings[0].case_style.source[0]", "integer", "1"),
+        ("argument_sections[0].tags", "argument_sections[0].tags[0]", "string", "x"), ("argument_sections[0].authors", "argument_sections[0].authors.first", "string", "y"),
+    }
+    rows = [tuple(r)[1:] for r in adjacency(df).collect()]
+    assert rebuilt(rows) == doc
+    assert adjacency(df.limit(0)).count() == 0
+
+
+def test_large_batches_come_out_in_parts(spark, monkeypatch):
+    from folioweave.operators import shred as module
+
+    doc = {"headings": [{"level": i} for i in range(30)]}
+    batch = pa.RecordBatch.from_pylist([{"file": str(i), "raw_json": json.dumps(doc) if i % 3 else "{"} for i in range(10)])
+    whole = list(module._shred_batches(iter([batch]), ["node", "scalar"], True))
+    monkeypatch.setattr(module, "_BATCH_NODES", 50)
+    parts = list(module._shred_batches(iter([batch]), ["node", "scalar"], True))
+    assert len(parts) > 2 and pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
