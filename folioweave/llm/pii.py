@@ -4,8 +4,9 @@ Regular expressions propose spans; regex, gazetteer and context labelers vote
 on them (``pii_rules``). Expectation-maximisation over the counts of the vote
 patterns of the whole corpus estimates how reliable each vote is, and so how
 likely a span of each pattern is personal. With these likelihoods as soft
-labels a span classifier (logistic regression on hashed context features and
-votes) is trained on a bounded sample of spans, and decides on all of them.
+labels a span classifier (logistic regression on hashed features of the span's
+words, form and surroundings, not of its votes) is trained on a bounded sample
+of spans. Both together decide on all spans.
 """
 
 from __future__ import annotations
@@ -49,25 +50,35 @@ class Model:
     reliability: dict[str, np.ndarray]  # type -> labeler x class x vote (-1, 0, 1)
     weights: np.ndarray
 
-    def probability(self, features: list[int]) -> float:
-        return float(1 / (1 + np.exp(-self.weights[features].sum())))
+    def vote_odds(self, pii_type: str, votes: bytes) -> float:
+        """Logarithm of the odds that a span with these votes is personal, by the labelers' reliabilities alone."""
+        return self._sum(pii_type, enumerate(votes)) + float(np.log(self.prior[pii_type] / (1 - self.prior[pii_type])))
 
+    def evidence(self, pii_type: str, votes: bytes) -> float:
+        """How much the yes and no votes of a span multiply its odds, as a logarithm.
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
+        Abstentions don't count: that a list or a cue is silent says much about
+        the spans that it was estimated on, but nothing against a span of a new kind.
+        """
+        return self._sum(pii_type, ((j, v) for j, v in enumerate(votes) if v))
+
+    def _sum(self, pii_type: str, votes: Iterator[tuple[int, int]]) -> float:
+        theta = self.reliability[pii_type]
+        return float(sum(np.log(theta[j, 1, v] / theta[j, 0, v]) for j, v in votes))
+
+
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """Reliability of each labeler, the share of the positive class, and each pattern's likelihood of it.
 
-    ``votes`` has a row a pattern with a -1, 0 or 1 of each labeler. The start
-    is a vote in which a no weighs three times a yes, as the labelers that say
-    no are the particular ones; a fifth of the mass stays with it, which keeps
-    the classes from changing places.
+    ``votes`` has a row a pattern with a -1, 0 or 1 of each labeler; an
+    abstention tells something too. The majority of yes and no is only where it
+    starts; the positive class is the one that has more of the yes votes.
     """
-    seen = votes[:, :, None] == np.array([-1, 0, 1])[None, None, :]
-    score = (votes == 1).sum(1) - 3.0 * (votes == 0).sum(1)
-    start = 1 / (1 + np.exp(-2.0 * score))
-    q, total = start.copy(), counts.sum()
+    seen = (votes[:, :, None] == np.array([-1, 0, 1])[None, None, :]).astype(float)
+    score = (votes == 1).sum(1) - (votes == 0).sum(1)
+    q, total = 1 / (1 + np.exp(1.0 - 2.0 * score)), counts.sum()
     for _ in range(rounds):
-        mixed = 0.8 * q + 0.2 * start
-        mass = np.stack([counts * (1 - mixed), counts * mixed])
+        mass = np.stack([counts * (1 - q), counts * q])
         theta = np.einsum("cp,pjv->jcv", mass, seen) + 0.5
         theta /= theta.sum(2, keepdims=True)
         prior = (mass[1].sum() + 1) / (total + 2)
@@ -76,6 +87,9 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         if np.abs(new - q).max() < 1e-6:
             break
         q = new
+    yes, no = theta[:, :, 2], theta[:, :, 1]
+    if (np.log(yes[:, 1] / yes[:, 0]) - np.log(no[:, 1] / no[:, 0])).sum() < 0:
+        theta, prior, q = theta[:, ::-1], 1 - prior, 1 - q
     return theta, float(prior), q
 
 
@@ -107,27 +121,31 @@ def gazetteer(names: DataFrame) -> tuple[set[str], set[str]]:
     return by["given"], by["family"]
 
 
-def propose(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidate spans of every document that has any: doc_id, spans.
+def propose(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Candidate spans of every document that has any: doc_id, spans; with ``keep_text`` of every document, and its text.
 
     Null and empty texts have none. Texts are searched whole; rows that repeat,
     and null ids, are documents of their own; other columns are not looked at.
     A gazetteer without names leaves its labelers silent.
     """
     shipped = documents.sparkSession.sparkContext.broadcast(Finder(*gazetteer(names)))
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''")
+    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    if not keep_text:
+        docs = docs.filter("text <> ''")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shipped.value.candidates(text)
-                if found:
-                    ids.append(doc_id)
+            kept, spans = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = shipped.value.candidates(text) if text else []
+                if found or keep_text:
+                    kept.append(i)
                     spans.append([_row(text, c) for c in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(_SPAN_ARROW))], names=["doc_id", "spans"])
+            rows = batch.take(pa.array(kept, pa.int64()))
+            columns = [*rows.columns] if keep_text else [rows.column(0)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(_SPAN_ARROW))], names=["doc_id", *["text"] * keep_text, "spans"])
 
-    return docs.mapInArrow(find, f"doc_id BIGINT, spans ARRAY<{_SPAN}>")
+    return docs.mapInArrow(find, f"doc_id BIGINT, {'text STRING, ' if keep_text else ''}spans ARRAY<{_SPAN}>")
 
 
 def _row(text: str, c: Candidate) -> dict:
@@ -151,33 +169,62 @@ def fit(proposed: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Model:
         votes, counts = np.array([list(v) for v, _ in rows]) - 1, np.array([n for _, n in rows], dtype=float)
         reliability[t], prior[t], q = expectation_maximisation(votes, counts)
         likelihood |= {(t, v): p for (v, _), p in zip(rows, q, strict=True)}
-    features, labels = [], []
-    for t in prior:
-        order = [F.xxhash64("doc_id", "start", "end"), F.col("start"), F.col("end")]
-        drawn = spans.filter(F.col("pii_type") == t).orderBy(*order).limit(sample_spans).select("votes", "features")
-        for r in drawn.collect():  # at most ``sample_spans`` rows
+    # The first spans of each type by a hash: one pass, nothing is shuffled, and no more come than the sample has room for, give or take chance.
+    total = {t: sum(r.n for r in patterns if r.pii_type == t) for t in prior}
+    place, wanted = F.xxhash64("doc_id", "start", "end"), F.lit(False)
+    for t, n in total.items():
+        last = min(2**63 - 1, -(2**63) + 2**64 * sample_spans // n)
+        wanted = wanted | ((F.col("pii_type") == t) & (place <= last))
+    drawn = spans.filter(wanted).select("pii_type", place.alias("place"), "votes", "features").collect() if prior else []
+    features, labels, room = [], [], dict.fromkeys(prior, sample_spans)
+    for r in sorted(drawn, key=lambda r: (r.pii_type, r.place, bytes(r.votes), bytes(r.features))):
+        if room[r.pii_type]:
+            room[r.pii_type] -= 1
             features.append(np.frombuffer(r.features, np.uint16))
-            labels.append(likelihood[(t, bytes(r.votes))])
+            labels.append(likelihood[r.pii_type, bytes(r.votes)])
     return Model(prior, reliability, train(features, np.array(labels)))
 
 
+def span_odds(spans: list[dict], model: Model) -> np.ndarray:
+    """Logarithms of the spans' odds: those of the classifier and the evidence of the votes, taken together.
+
+    The classifier knows a span's words, form and surroundings but not its votes,
+    so that each corrects the other.
+    """
+    starts = np.cumsum([0, *(len(s["features"]) // 2 for s in spans[:-1])])
+    sums = np.add.reduceat(model.weights[np.frombuffer(b"".join(s["features"] for s in spans), np.uint16)], starts)
+    voted: dict[tuple[str, bytes], float] = {}
+    for s in spans:
+        key = (s["pii_type"], bytes(s["votes"]))
+        if key not in voted:
+            voted[key] = model.evidence(*key)
+    return sums + np.array([voted[s["pii_type"], bytes(s["votes"])] for s in spans])
+
+
 def choose(spans: list[dict], model: Model, threshold: float = 0.5) -> list[dict]:
     """The accepted spans of a document, no two of which overlap, in order.
 
-    Of overlapping ones the likelier counts, in steps of a tenth, then the
-    longer, then the earlier.
+    Of overlapping ones of a type the likelier counts, in three classes (odds of
+    20 and of 400 to one part them), then the longer, then the earlier; of those of several types the likelier.
     """
     if not spans:
         return []
-    starts = np.cumsum([0, *(len(s["features"]) // 2 for s in spans[:-1])])
-    sums = np.add.reduceat(model.weights[np.frombuffer(b"".join(s["features"] for s in spans), np.uint16)], starts)
-    scored = [(s, p) for s, p in zip(spans, 1 / (1 + np.exp(-sums)), strict=True) if p > threshold]
-    scored.sort(key=lambda x: (-round(x[1], 1), x[0]["start"] - x[0]["end"], x[0]["start"], x[0]["pii_type"]))
-    taken: list[dict] = []
-    for s, _ in scored:
-        if all(s["end"] <= t["start"] or s["start"] >= t["end"] for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: s["start"])
+    odds = np.clip(span_odds(spans, model), -500, 500)
+    limit = np.log(threshold / (1 - threshold))
+    scored = [(s, x) for s, x in zip(spans, odds, strict=True) if x > limit]
+    scored.sort(key=lambda x: (-min(2, int(x[1] // 3)), x[0]["start"] - x[0]["end"], x[0]["start"]))
+    scored = _apart(scored, across=False)
+    scored.sort(key=lambda x: (-x[1], x[0]["start"] - x[0]["end"], x[0]["start"], x[0]["pii_type"]))
+    return sorted((s for s, _ in _apart(scored, across=True)), key=lambda s: s["start"])
+
+
+def _apart(scored: list[tuple[dict, float]], across: bool) -> list[tuple[dict, float]]:
+    """The spans that overlap none before them in the order given: of their type, or of any if ``across``."""
+    taken: list[tuple[dict, float]] = []
+    for s, x in scored:
+        if all(s["end"] <= t["start"] or s["start"] >= t["end"] for t, _ in taken if across or t["pii_type"] == s["pii_type"]):
+            taken.append((s, x))
+    return taken
 
 
 def find_spans(proposed: DataFrame, model: Model) -> DataFrame:
@@ -200,20 +247,23 @@ def find_spans(proposed: DataFrame, model: Model) -> DataFrame:
 
 
 def redact(documents: DataFrame, names: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`redacted` documents, by a model that was fitted before."""
+    return redacted(propose(documents, names, id_col, text_col, keep_text=True), model)
+
+
+def redacted(proposed: DataFrame, model: Model) -> DataFrame:
     """Every document with placeholders for its accepted spans: doc_id, text, n_replaced.
 
-    One row for each row of ``documents``; all else of a text is unchanged, null
-    and empty texts too.
+    ``proposed`` has kept the texts. One row for each document; all else of a
+    text is unchanged, null and empty texts too.
     """
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    shipped = documents.sparkSession.sparkContext.broadcast((Finder(*gazetteer(names)), model))
+    shipped = proposed.sparkSession.sparkContext.broadcast(model)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, fitted = shipped.value
         for batch in batches:
             texts, counts = [], []
-            for text in batch.column(1).to_pylist():
-                spans = choose([_row(text, c) for c in finder.candidates(text)], fitted) if text else []
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                spans = choose(found, shipped.value)
                 parts, at = [], 0
                 for s in spans:
                     parts += [text[at : s["start"]], PLACEHOLDERS[s["pii_type"]]]
@@ -224,7 +274,13 @@ def redact(documents: DataFrame, names: DataFrame, model: Model, id_col: str = "
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_replaced"]
             )
 
-    return docs.mapInArrow(replace, "doc_id BIGINT, text STRING, n_replaced INT")
+    return proposed.mapInArrow(replace, "doc_id BIGINT, text STRING, n_replaced INT")
+
+
+def redact_personal(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`redacted` documents with a model of themselves; texts and candidates go to the checkpoint folder, and are read once."""
+    proposed = checkpoint(propose(documents, names, id_col, text_col, keep_text=True))
+    return redacted(proposed, fit(proposed))
 
 
 def find_personal(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

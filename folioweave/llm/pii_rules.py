@@ -1,7 +1,9 @@
 """Candidates of personal information in a text, and the labelers that vote on them.
 
-``candidates`` proposes generously; each labeler then says 1 (personal), 0 (not)
-or -1 (nothing). What the votes are worth is estimated later, from the corpus.
+``candidates`` proposes generously: whatever has the form of a name, a number, an
+address. Each labeler then says 1 (personal), 0 (not) or -1 (nothing). What the
+votes are worth is estimated later, from the corpus. Cues are general labels and
+verbs; what else stands around the spans of a corpus the classifier learns.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 TYPES = ["email", "phone", "id_number", "address", "person_name"]
 
@@ -36,7 +39,7 @@ _PHONES = {
     "french": rf"(?:(?:\+|00)33{_S}?(?:\(0\){_S}?)?|0)[1-9](?P<even>(?:{_S}?\d\d){{4}})",
     "german": rf"(?:(?:\+|00)49{_S}?(?:\(0\){_S}?)?|\(0|0)\d{{2,4}}\)?{_S}?\d{{3,6}}(?:{_S}\d{{2,5}}|\d{{2,3}})?",
     "spanish": rf"(?:\(?(?:\+|00)34\)?{_S}?)?\d{{3}}(?:(?P<even>(?:{_S}\d\d){{3}})|{_S}?\d{{6}}|{_S}\d{{3}}{_S}\d{{3}})",
-    "international": rf"\+\d{{1,3}}(?:{_S}?\(?\d{{2,5}}\)?){{2,6}}",
+    "international": rf"\+\d{{1,3}}(?:{_S}?\(?\d{{1,7}}\)?){{2,6}}",
 }
 PHONES = {k: re.compile(rf"(?<![\w+(/.\-*])(?:{p})(?![\w]|[.\-/‐-―]\d)") for k, p in _PHONES.items()}
 
@@ -96,6 +99,7 @@ ADDRESSES = {
 
 _PARTICLE = r"(?:di|de\s+la|de\s+los|del|de|da|dos|du|van\s+der|van\s+den|van|von\s+der|von|la|le|af|ten|ter)"
 _PARTICLES = set("di de la los del da dos du van der den von le af ten ter".split())
+_INNER_PARTICLE = re.compile(rf"(?:\w+\s+)?{_PARTICLE}\s+")
 _WORD = rf"(?:{_U}\w+|{_U}['’]{_U}\w+)(?:['’]{_U}\w+)?"
 _FAMILY = rf"(?:{_PARTICLE}\s+)?{_WORD}(?:-{_WORD})*"
 _GIVEN = rf"(?:{_WORD}(?:-{_WORD})?|{_U}\.(?:\s?{_U}\.)?)(?:\s+{_U}\.)?"
@@ -118,26 +122,24 @@ TITLED = re.compile(rf"\w+\.?\s+({_FAMILY})(?![\w@])")
 
 # What stands before a person's name.
 NAME_BEFORE = re.compile(
-    r"(?<!\w)(?:(?:witness list|attn|attention|prepared by|name|affiant|declarant|deponent|witness|signed|reviewed by|filed by|submitted by|drafted by|contact person|testigo|témoin|zeuge|zeugin|verfasser|nom|nombre|nombre y apellidos)\s*:"
-    r"|signed by|prepared by|questioned|respectfully submitted,|sincerely,|this is|i am|my name is|rédigé par|signée? par|bearbeitet von|unterzeichnet von|gezeichnet von|unterschrieb|firmó la declaración|firmad[oa] por|redactad[oa] por|elaborado por|agréer nos salutations\.|cordialement,|mit freundlichen grüßen,?|atentamente,|hochachtungsvoll,?)\s*",
+    r"(?<!\w)(?:(?:witness list|attn|attention|prepared by|name|affiant|declarant|deponent|witness|signed|reviewed by|filed by|submitted by|drafted by|contact person|contact|author|client|patient|tenant|sender|recipient|owner|employee|manager|applicant|beneficiary|ansprechpartner|autor|auteur|cliente?|testigo|témoin|zeuge|zeugin|verfasser|nom|nombre|nombre y apellidos)\s*:"
+    r"|signed by|prepared by|questioned|interviewed|thanked|respectfully submitted,|sincerely,|regards,|according to|met with|spoke with|this is|i am|my name is|ich heiße|mein name ist|mi nombre es|me llamo|je m['’]appelle|je suis|rédigé par|signée? par|bearbeitet von|unterzeichnet von|gezeichnet von|unterschrieb|firmó la declaración|firmad[oa] por|redactad[oa] por|elaborado por|agréer nos salutations\.|cordialement,|mit freundlichen grüßen,?|atentamente,|hochachtungsvoll,?)\s*",
     re.I,
 )
-NAME_LIST = re.compile(r"witness list\s*:[^.\n]{0,200};\s*$", re.I)
-NAME_OPENING = re.compile(r"(?:^|[\n.!?;)]\s*)as\s+$", re.I)
 SIGNATURE_BEFORE = re.compile(r"(?:^|\n)--[^\S\n]*\r?\n[^\S\n]*$")
 # What stands after a person's name.
 NAME_AFTER = re.compile(
-    r"(?:['’]s?\s+(?:affidavit|declaration|deposition|testimony|lease)|\s+(?:testified|explained|declared|stated|swore|deposed|declaró|déclare|erklärte|sagte)\b"
+    r"(?:['’]s?\s+(?:affidavit|declaration|deposition|testimony|statement|letter)|\s+(?:testified|explained|declared|stated|swore|deposed|said|says|wrote|asked|replied|signed|objected|argued|met|declaró|dijo|firmó|déclare|déclara|affirme|erklärte|sagte|schrieb)\b"
     r"|\s*[(,;]\s*(?:ssn|social\s+sec|soc\.|tin\b|taxpayer|passport|driver|operator|dl\s+no|travel\s+doc|dni|nif|nie\b|documento\s+de|nir\b|n°\s+de|numéro\s+de|steuer|idnr)"
-    r"|\s*;\s*the\s+surveyor|\s*\|\s*\S|\s+about\s+the\s+gap)",
+    r")",
     re.I,
 )
-NAME_NEXT_IN_LIST = re.compile(rf"\s*;\s*{_U}")
 # Words of firms, bodies, courts, places and documents.
 ORGANISATION = (
-    "Authority Board Co Company Cooperative Corp County Court District Inc LLP LLC Line Ltd Mills Rail Trust Union University Timber Grain Water GmbH AG SARL"
+    "Agency Association Authority Bank Board Bureau Church Co College Commission Committee Company Cooperative Corp Corporation Council County Court Department District Foundation "
+    "Group Hospital Inc Institute LLP LLC Line Ltd Ministry Office Partners School Society Trust Union University AG GmbH SA SARL SL"
 ).split()
-STRONG_ORGANISATION = set("Authority Board Company Cooperative County District LLP LLC Ltd Inc Trust Union University GmbH".split())
+STRONG_ORGANISATION = set("Association Authority Board Commission Committee Company Cooperative Corporation Council County Department District LLP LLC Ltd Inc Trust Union University GmbH".split())
 ORGANISATION_AFTER = re.compile(rf"(?:[^\S\n]+&|(?:,?[^\S\n]+{_U}[\w'’]+){{0,2}},?[^\S\n]+(?:{'|'.join(ORGANISATION)})(?!\w))")
 CAPTION = re.compile(r"(?:(?<!\w)v\.?\s+|(?<!\w)(?:See|see|Voir|Vgl\.|Véase|contra|anders|Cf\.|firm|Firma|sociedad|société)\s+|&\s+)$")
 # Words that open sentences and headings rather than names.
@@ -158,20 +160,19 @@ ORDINARY = set(
 )
 
 PHONE_BEFORE = re.compile(
-    r"(?<!\w)(?:tel|tél|phone|telephone|téléphone|telefon|teléfono|telefonisch|mobile|cell|fax|voice|callback|reached\s+at|call\s+me\s+on|call|left\s+at|number\s+for\s+the\s+filer\s+is|filer\s+is|joignable\s+au|rappeler\s+le|unter|rufen|llamar\s+al|ruf)\s*[.:]*\s*:?\s*",
+    r"(?<!\w)(?:tel|tél|phone|telephone|téléphone|telefon|teléfono|telefonisch|mobile|cell|fax|voice|callback|reached\s+at|reach\s+(?:me|us|him|her|them)\s+(?:at|on)|ring\s+(?:me|us)\s+(?:at|on)|call\s+me\s+on|call|kontakt|joignable\s+au|appeler\s+le|rappeler\s+le|unter|rufen|llamar\s+al|ruf)\s*[.:]*\s*:?\s*",
     re.I,
 )
 LINE_START = re.compile(r"(?:^|[\n|])[^\S\n]*$")
 LINE_END = re.compile(r"[^\S\n]*(?:\r?\n|$|\|)")
 # Labels of numbers that belong to no person.
 OTHER_NUMBER = re.compile(
-    r"(?<!\w)(?:index|exhibit|parcel|form|batch|bar\s+no|docket\s+no|docket|invoice|folio|pièce|beleg\s+nr|beleg|aktenzeichen|autos\s+n\.?º|dossier\s+n°|dossier|article|artikel|version|build|commit|item|tab|no\.|masked\s+as|case\s+no|claim\s+no|policy\s+no|receipt|ticket|order|"
-    r"spec\s*=|conf\s*=|page)\s*[.:#]*\s*",
+    r"(?<!\w)(?:index|exhibit|parcel|form|batch|bar\s+no|docket\s+no|docket|invoice|folio|pièce|beleg\s+nr|beleg|aktenzeichen|autos\s+n\.?º|dossier\s+n°|dossier|article|artikel|version|build|commit|item|tab|no\.|masked\s+as|case\s+no|claim\s+no|policy\s+no|receipt|ticket|order|page)\s*[.:#]*\s*",
     re.I,
 )
 # Labels of a person's numbers.
 ID_BEFORE = re.compile(
-    r"(?<!\w)(?:ssn|social\s+security\s+(?:number|no\.?)|soc\.\s+sec\.\s+(?:no\.?|number)|tin|taxpayer\s+id(?:entification)?(?:\s+(?:number|no\.?))?|itin|passport(?:\s+(?:no\.?|number))?|passeport(?:\s+n°)?|pasaporte(?:\s+n\.?º)?|reisepass(?:-?nr\.?)?|"
+    r"(?<!\w)(?:ssn|my\s+social|social\s+security(?:\s+(?:number|no\.?))?|soc\.\s+sec\.\s+(?:no\.?|number)|tin|taxpayer\s+id(?:entification)?(?:\s+(?:number|no\.?))?|itin|passport(?:\s+(?:no\.?|number))?|passeport(?:\s+n°)?|pasaporte(?:\s+n\.?º)?|reisepass(?:-?nr\.?)?|"
     r"travel\s+document(?:\s+(?:no\.?|number))?|driver['’]?s['’]?\s+licen[sc]e(?:\s+(?:no\.?|number))?|operator['’]?s['’]?\s+licen[sc]e(?:\s+(?:no\.?|number))?|driving\s+licence|dl\s+no\.?|führerschein(?:-?nr\.?)?|permis\s+de\s+conduire|"
     r"national\s+(?:id|identity)(?:\s+(?:no\.?|number|card))?|identity\s+(?:card|number)|personalausweis(?:-?nr\.?)?|steuer-?id(?:-?nr\.?)?|idnr\.?|steuerliche\s+identifikationsnummer|identifikationsnummer|sozialversicherungsnummer|"
     r"nir|(?:n°|numéro|no)\s+de\s+s[ée]cu(?:rité\s+sociale)?|sécurité\s+sociale|dni|nif|nie|documento\s+(?:nacional\s+)?de\s+identidad|número\s+de\s+identidad)"
@@ -179,17 +180,20 @@ ID_BEFORE = re.compile(
     re.I,
 )
 STREET_BEFORE = re.compile(
-    r"(?:address|anschrift|adresse|domicilio|resides\s+at|premises\s+at|posted\s+at|cover\s+page\s+to|wohnt|erfolgte\s+an|demeure|faite\s+au|vive\s+en|\)|,)\s*[,:]?\s*$", re.I
+    r"(?:address|anschrift|adresse|domicilio|resides\s+at|liv(?:es|ed|ing)\s+(?:at|in)|premises\s+at|wohnt|wohnhaft|demeure|demeurant|habite(?:\s+au)?|vive\s+en|con\s+domicilio\s+en|\)|,)\s*[,:]?\s*$", re.I
 )
 
 EMAIL_BEFORE = re.compile(
-    r"(?<!\w)(?:e-?mail|mailto|contact|contact\W{1,4}|cc|write\s+to|copy\s+to|copie\s+à|copia\s+sellada\s+a|abschrift\s+an|replies\s+go\s+to|accepted\s+at|logged\s+in\s+as|user\s?=|écrire\s+à|consultas\s+a|rückfragen\s+an|anmeldung\s+mit)\s*[:<=\"'(]*\s*",
+    r"(?<!\w)(?:e-?mail|mailto|contact|contact\W{1,4}|cc|write\s+to|send\s+(?:it\s+)?to|copy\s+to|copie\s+à|copia\s+a|kopie\s+an|écrire\s+à|escribir\s+a|schreiben\s+(?:sie\s+)?an)\s*[:<=\"'(]*\s*",
     re.I,
 )
 # What has the look without the substance; such candidates teach what is none.
 _ROUGH_EMAIL = re.compile(r"(?<![\w.+%\-@])[\w.+%\-]{1,64}\s?@\s?\w[\w.\-]{0,63}\w")
 _MEASURE = re.compile(r"@\s?(?:\d+(?:[.,]\d+)?\s?(?:in|cm|mm|pt|px|%)?(?!\w)|commit\b|[0-9a-f]{7,40}(?!\w))")
-_ROUGH_ADDRESS = re.compile(rf"(?<![\w\-/.])\d{{1,6}}\s+(?:[\w'’\-]+\s+){{1,5}}?(?:{_STREETS})(?!\w)")
+_BREAK = r"(?:[^\S\r\n]+|[^\S\r\n]*\r?\n[^\S\r\n]*)"  # spaces, or one line's end
+_ROUGH_ADDRESS = re.compile(
+    rf"(?<![\w\-/.])\d{{1,6}}[A-Za-z]?{_BREAK}(?:[\w'’\-]+{_BREAK}){{1,5}}?(?:{_STREETS})(?!\w)\.?(?P<town>(?:,\s*|\s+in\s+){_U}(?:{_L}|['’])+(?:[ \-]{_U}(?:{_L}|['’])+(?!\d)){{0,3}}(?:,?\s+(?:[A-Z]{{1,2}}\d[A-Z\d]?\s?\d[A-Z]{{2}}|[A-Z]{{2}}\s+\d{{5}}))?(?!\w))?"
+)
 
 # Where to look: groups of digits, at signs and capitals after commas.
 _GROUP = re.compile(r"\d+")
@@ -220,7 +224,7 @@ def _digit_runs(text: str) -> tuple[list[tuple[int, int, int]], list[int]]:
 
 
 # The last words of the cues before a name; a colon may end others.
-_CUE_ENDS = set("by von par por questioned is am unterschrieb declaración grüßen grüßen, submitted, sincerely, salutations. cordialement, atentamente, hochachtungsvoll hochachtungsvoll,".split())
+_CUE_ENDS = set("to with thanked interviewed regards, heiße ist es llamo m'appelle m’appelle appelle suis by von par por questioned is am unterschrieb declaración grüßen grüßen, submitted, sincerely, salutations. cordialement, atentamente, hochachtungsvoll hochachtungsvoll,".split())
 
 
 def _cued(text: str, at: int) -> bool:
@@ -236,7 +240,7 @@ def _follows(pattern: re.Pattern, text: str, at: int) -> bool:
 
 # The last words of the labels of a person's numbers, and of what may stand between them and a number.
 _ID_ENDS = tuple(
-    "ssn number no no. tin id identification itin passport passeport n° n.º nº pasaporte reisepass nr nr. document licence license führerschein conduire card identity "
+    "ssn social security number no no. tin id identification itin passport passeport n° n.º nº pasaporte reisepass nr nr. document licence license führerschein conduire card identity "
     "personalausweis idnr idnr. nummer nir sécu secu sociale dni nif nie identidad is ist est es lautet".split()
 )
 
@@ -276,25 +280,54 @@ class Candidate:
     features: list[int] = field(default_factory=list)
 
 
-#: Names of the votes of each type, in their order.
+#: Names of the votes of each type, in their order. No vote is the same as another or its contrary.
 LABELERS = {
     "email": ["form", "at_sign", "cue_before", "measure"],
     "phone": ["cue_before", "own_line", "form", "other_label", "digits"],
-    "id_number": ["cue_before", "form", "other_label", "no_label"],
-    "address": ["form", "cue_before"],
+    "id_number": ["cue_before", "form", "other_label", "person_before"],
+    "address": ["form", "cue_before", "ends_here", "other_label"],
     "person_name": ["cue_before", "cue_after", "given_known", "family_known", "organisation", "not_a_name"],
 }
 FEATURE_BITS = 14
 
 
+@lru_cache(1 << 16)
 def feature(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1)
 
 
+_DIGITS = str.maketrans("0123456789", "9999999999")
+
+
 def _context(text: str, start: int, end: int) -> list[str]:
-    before = re.sub(r"\d", "9", text[max(0, start - 30) : start].lower()).split()[-2:]
-    after = re.sub(r"\d", "9", text[end : end + 20].lower()).split()[:1]
-    return ["b:" + " ".join(before), "b1:" + (before[-1] if before else ""), "a:" + (after[0] if after else "")]
+    """What stands around a span: two words before it and two behind."""
+    before, after = text[max(0, start - 30) : start].lower(), text[end : end + 24].lower()
+    if _GROUP.search(before):
+        before = before.translate(_DIGITS)
+    if _GROUP.search(after):
+        after = after.translate(_DIGITS)
+    b, a = before.split()[-2:], after.split()[:2]
+    glued = "" if not before or before[-1].isspace() else before[-1]
+    line = "^" if not before.strip(" \t") or before.rstrip(" \t")[-1:] == "\n" else ""
+    return ["b:" + " ".join(b), "b1:" + (b[-1] if b else ""), "a:" + " ".join(a), "a1:" + (a[0] if a else ""), f"g:{glued}{line}|{after[:1]}"]
+
+
+def _form_of(text: str) -> str:
+    """A span's characters by class, runs cut to one letter and digits to four."""
+    classes = ("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else " " if c.isspace() else c for c in text[:40])
+    return re.sub(r"a+", "a", re.sub(r"A{2,}", "AA", "".join(classes)))
+
+
+@dataclass
+class _Words:
+    """What the words of a name's candidate tell, wherever it stands."""
+
+    given: bool
+    family: bool
+    bad: bool
+    organisation: bool
+    behind: int  # where the words behind a particle begin, which may be a cue's preposition; 0 without one
+    features: list[int]
 
 
 class Finder:
@@ -302,19 +335,24 @@ class Finder:
 
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
+        self._known: dict[tuple[str, str], _Words | None] = {}
+
+    def __getstate__(self) -> dict:
+        return {"given": self.given, "family": self.family, "_known": {}}
 
     def candidates(self, text: str) -> list[Candidate]:
         """All candidates of a text, in no order; spans may overlap."""
         runs, fives = _digit_runs(text)
         out = self._emails(text) + self._phones(text, runs) + self._ids(text, runs) + self._addresses(text, fives) + self._names(text)
         for c in out:
-            votes = [f"{c.pii_type}:{n}:{v}" for n, v in zip(LABELERS[c.pii_type], c.votes, strict=True)]
-            c.features += [feature(x) for x in [c.pii_type, *votes, *(f"{c.pii_type}:{w}" for w in _context(text, c.start, c.end))]]
+            c.features += [feature(f"{c.pii_type}:{w}") for w in _context(text, c.start, c.end)]
+            c.features.append(feature(c.pii_type))
         return out
 
     def _emails(self, text: str) -> list[Candidate]:
         found: dict[tuple[int, int], int] = {}
-        for low, high in _windows([m.start() for m in _AT_SIGN.finditer(text)], 130, 330, len(text)):
+        # The parts of an address are at most 64 characters long each.
+        for low, high in _windows([m.start() for m in _AT_SIGN.finditer(text)], 320, 480, len(text)):
             for m in EMAIL.finditer(text, low, high):
                 found[m.span()] = 1
             for m in _ROUGH_EMAIL.finditer(text, low, high):
@@ -327,7 +365,7 @@ class Finder:
                 1 if _follows(EMAIL_BEFORE, text, a) else -1,
                 0 if _MEASURE.search(text, a, b) else -1,
             )
-            out.append(Candidate("email", a, b, votes))
+            out.append(Candidate("email", a, b, votes, [feature(f"email:f:{_form_of(text[a:b])}"), feature(f"email:d:{text[a:b].rpartition('.')[2].lower()}")]))
         return out
 
     def _phones(self, text: str, runs: list[tuple[int, int, int]]) -> list[Candidate]:
@@ -335,28 +373,25 @@ class Finder:
         starts = set()
         for low, high, n in runs:
             first = low - (text[low - 1 : low] == "(")
-            labelled = _follows(PHONE_BEFORE, text, first)
-            if n < 9 and not labelled:
-                continue
-            for form, pattern in PHONES.items():
+            for form, pattern in PHONES.items() if n > 8 or text[low - 1 : low] == "+" else ():
                 for m in pattern.finditer(text, max(0, low - 3), min(len(text), high + 2)):
                     if _even(form, m) and not (form == "international" and m.start() in starts):
                         found.setdefault((m.start(), m.end()), form)
                         starts.add(m.start())
-            if labelled and first not in starts and (m := LOCAL_PHONE.match(text, first)):
+            if first not in starts and (n > 6 or _follows(PHONE_BEFORE, text, first)) and (m := LOCAL_PHONE.match(text, first)):
                 found.setdefault(m.span(), "local")
         out = []
         for (a, b), form in found.items():
             digits = sum(ch.isdigit() for ch in text[a:b])
             cue = _follows(PHONE_BEFORE, text, a)
-            if digits < (5 if cue else 9):
+            if digits < 5:
                 continue
             own = 1 if LINE_START.search(text[max(0, a - 40) : a]) and LINE_END.match(text, b) else -1
             bare = text[a:b].isdigit()
             strong = form not in ("german", "local") and not (bare and digits == 9) or form == "german" and text[a:b].startswith(("+49", "0049"))
             other = _follows(OTHER_NUMBER, text, a) or _follows(ID_BEFORE, text, a) or _DATE.fullmatch(text, a, b)
             votes = (1 if cue else -1, own, 1 if strong else -1, 0 if other else -1, 0 if digits > 15 else -1)
-            out.append(Candidate("phone", a, b, votes, [feature(f"phone:form:{form}")]))
+            out.append(Candidate("phone", a, b, votes, [feature(f"phone:form:{form}"), feature(f"phone:f:{_form_of(text[a:b])}")]))
         return out
 
     def _ids(self, text: str, runs: list[tuple[int, int, int]]) -> list[Candidate]:
@@ -375,24 +410,27 @@ class Finder:
         out = []
         for (a, b), form in found.items():
             cue = 1 if form == "other" or _follows(ID_BEFORE, text, a) else -1
-            other = 0 if cue < 0 and _follows(OTHER_NUMBER, text, a) else -1
-            unlabelled = 0 if cue < 0 else -1
-            out.append(Candidate("id_number", a, b, (cue, 1 if form != "other" else -1, other, unlabelled), [feature(f"id:form:{form}")]))
+            other = 0 if _follows(OTHER_NUMBER, text, a) or _follows(PHONE_BEFORE, text, a) else -1
+            person = any(w in self.given or w in self.family for w in re.findall(rf"{_L}+", text[max(0, a - 60) : a].lower()))
+            form_vote = 1 if form not in ("other", "nine_digits", "eleven_digits", "letter_digits") else -1
+            out.append(Candidate("id_number", a, b, (cue, form_vote, other, 1 if person else -1), [feature(f"id:form:{form}"), feature(f"id:f:{_form_of(text[a:b])}")]))
         return out
 
     def _addresses(self, text: str, postcodes: list[int]) -> list[Candidate]:
         found: dict[tuple[int, int], str] = {}
-        for low, high in _windows(postcodes, 160, 160, len(text)):
+        for low, high in _windows(postcodes, 240, 200, len(text)):
             for form, pattern in ADDRESSES.items():
                 for m in pattern.finditer(text, low, high):
                     found.setdefault(m.span(), form)
         for m in _ROUGH_ADDRESS.finditer(text):
-            found.setdefault(m.span(), "rough")
+            found.setdefault(m.span(), "rough" if m["town"] is None else "town")
         out = []
         for (a, b), form in found.items():
-            full = form != "rough"
+            full = {"rough": 0, "town": -1}.get(form, 1)
             cue = STREET_BEFORE.search(text[max(0, a - 30) : a]) or LINE_START.search(text[max(0, a - 5) : a])
-            out.append(Candidate("address", a, b, (int(full), 1 if cue else -1), [feature(f"address:form:{form}")]))
+            ends = text[b : b + 1] in ".,;)\n\r|" or text[b : b + 2].isspace()
+            other = _follows(OTHER_NUMBER, text, a)
+            out.append(Candidate("address", a, b, (full, 1 if cue else -1, 1 if ends else -1, 0 if other else -1), [feature(f"address:form:{form}")]))
         return out
 
     def _names(self, text: str) -> list[Candidate]:
@@ -401,62 +439,71 @@ class Finder:
             at = word.start()
             if word[0].rstrip(".") in TITLES and text[at - 1 : at] != "." and (m := TITLED.match(text, at)):
                 found[m.span(1)] = "titled"
-            if text[at - 1 : at] in NOT_BEFORE_NAMES or not (m := FULL_NAME.match(text, at)):
-                continue
-            a, b = m.span(1)
-            words = text[a:b].lower().split()
-            first = words[0]
-            # Most pairs of capitalised words have nothing that speaks for a name.
-            if first in self.given or self._telling(words[-1]) or first[-1] == "." or text[a - 1 : a] in "\n" or text[a - 3 : a - 1] in ("As", "as") or text[a - 2 : a] == "; " or NAME_AFTER.match(text, b) or _cued(text, a):
-                found.setdefault((a, b), "full")
-        for low, high in _windows([m.start() for m in _COMMA.finditer(text)], 60, 60, len(text)):
+            if text[at - 1 : at] not in NOT_BEFORE_NAMES and (m := FULL_NAME.match(text, at)):
+                found.setdefault(m.span(1), "full")
+        for low, high in _windows([m.start() for m in _COMMA.finditer(text)], 120, 120, len(text)):
             for m in REVERSED.finditer(text, low, high):
                 found.setdefault(m.span(1), "reversed")
         if "his is" in text or "name is" in text or "--" in text:
             for m in _SMALL_PLACES.finditer(text):
                 found.setdefault(m.span(1), "small")
-        return [c for (a, b), form in found.items() if (c := self._name(text, a, b, form))]
+        out, listed = [], {}
+        for (a, b), form in sorted(found.items()):
+            # In a list, what holds for a name holds for the one behind the semicolon.
+            in_list = text[a - 2 : a] == "; " and listed.get(a - 2, False)
+            c = self._name(text, a, b, form, in_list)
+            if c is not None:
+                out.append(c)
+                listed[b] = listed.get(b, False) or c.votes[0] == 1
+        return out
 
     def _family(self, name: str) -> bool:
         """Is it, or a part of it, a known family name?"""
         return name in self.family or ("-" in name and any(p in self.family for p in name.split("-")))
 
-    def _telling(self, name: str) -> bool:
-        """Is it a family name that speaks for a person alone?"""
-        return self._family(name) and name not in ORDINARY
-
-    def _name(self, text: str, a: int, b: int, form: str) -> Candidate | None:
-        words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
+    def _told(self, span: str, form: str) -> _Words | None:
+        """What a candidate's words tell, None if they are no name's; kept for the next time."""
+        key = (span, form)
+        if key not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[key] = self._read(span, form)
+        return self._known[key]
+
+    def _read(self, span: str, form: str) -> _Words | None:
+        words = [w for w in re.split(r"[\s,]+", span) if w]
         plain = [w for w in words if not w.endswith(".")]
         names = [w.lower() for w in plain if w not in _PARTICLES]
         if not names or (form != "titled" and words[0].rstrip(".") in TITLES and not (words[0].endswith(".") and len(words) > 2)):
             return None
         first, last = (names[-1], names[0]) if form == "reversed" else (names[0], names[-1])
         initials = form != "titled" and len(words) > len(plain) and len(names) == 1
-        given = form != "titled" and first in self.given
-        family = self._family(last)
-        after = text[b : b + 60]
-        cue = form in ("titled", "small") or _cued(text, a)
-        cue_after = NAME_AFTER.match(after) is not None
-        if cue_after and not (given or family) and after.lstrip(" \t").startswith(("\n", "\r")):
-            cue_after = False
-        if not (cue and cue_after):
-            before = text[max(0, a - 230) : a]
-            cue = cue or SIGNATURE_BEFORE.search(before[-12:]) or (before.endswith("; ") and NAME_LIST.search(before))
-            cue = cue or (NAME_OPENING.search(before[-8:]) and re.match(r"\s+explained", after))
-            cue_after = cue_after or (after.lstrip().startswith(";") and NAME_NEXT_IN_LIST.match(after) and "itness list" in before)
-        if not (cue or cue_after or given or (initials and family) or self._telling(last)):
-            return None
-        if words[0] in _PARTICLES and _cued(text, a + text[a:b].index(words[1])):
-            return None  # the particle is the cue's preposition
-        before = text[max(0, a - 25) : a]
-        org = form != "small" and (ORGANISATION_AFTER.match(after) or CAPTION.search(before) or any(w in STRONG_ORGANISATION for w in plain))
-        bad = any(w in NOT_NAMES and w not in self.given and w not in self.family for w in names)
-        bad = bad or (form != "titled" and names[0] in NOT_NAMES and not ((cue or (cue_after and given and family)) and len(names) > 1))
-        if not (cue or cue_after or (given and not bad) or (initials and family) or self._telling(last)):
-            return None
-        votes = (1 if cue else -1, 1 if cue_after else -1, 1 if given else -1, 1 if family else -1, 0 if org else -1, 0 if bad else -1)
-        return Candidate("person_name", a, b, votes, [feature(f"name:form:{'initials' if initials else form}")])
+        bad = any(w in NOT_NAMES and w not in self.given and w not in self.family for w in names) or (form in ("full", "small") and names[0] in NOT_NAMES)
+        told = [f"form:{'initials' if initials else form}", f"n:{len(words)}", f"first:{first}", f"last:{last}", f"f:{_form_of(span)}"]
+        told += [f"end:{first[-2:]}", f"end:{last[-3:]}"]
+        return _Words(
+            given=form != "titled" and first in self.given,
+            family=self._family(last) and (last not in ORDINARY or initials),
+            bad=bad,
+            organisation=form != "small" and any(w in STRONG_ORGANISATION for w in plain),
+            behind=m.end() if (m := _INNER_PARTICLE.match(span)) else 0,
+            features=[feature(f"person_name:{w}") for w in told],
+        )
+
+    def _name(self, text: str, a: int, b: int, form: str, in_list: bool) -> Candidate | None:
+        told = self._told(text[a:b], form)
+        if told is None or (told.behind and _cued(text, a + told.behind)):
+            return None  # no name, or its particle is a cue's preposition
+        cue = (in_list and (told.given or not told.bad)) or form in ("titled", "small") or _cued(text, a) or SIGNATURE_BEFORE.search(text[max(0, a - 12) : a]) is not None
+        behind = text[b : b + 60]
+        after = NAME_AFTER.match(behind) is not None
+        if after and not (told.given or told.family) and behind.lstrip(" \t").startswith(("\n", "\r")):
+            after = False
+        org = form != "small" and (told.organisation or ORGANISATION_AFTER.match(behind) or CAPTION.search(text[max(0, a - 25) : a]))
+        votes = (
+            1 if cue else -1, 1 if after else -1, 1 if told.given else -1, 1 if told.family else -1, 0 if org else -1, 0 if told.bad else -1,
+        )
+        return Candidate("person_name", a, b, votes, list(told.features))
 
 
 # Names in small letters are looked for only where a person names themself.

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from folioweave.llm.frequencies import marked, record_terms
 from folioweave.llm.packing import fill_report, pack
 from folioweave.llm.pairs import beyond_chance, cooccurrences
-from folioweave.llm.pii import find_personal, fit, propose, redact
+from folioweave.llm.pii import find_personal, redact_personal
 from folioweave.llm.subsequences import frequent_subsequences
 from folioweave.llm.terms import terms
 from folioweave.llm.tokens import decode_corpus, encode_corpus, token_counts
 from folioweave.operators.deliveries import latest
-from folioweave.session import checkpoint
 
 #: Pack sizes are a parameter table; more rows than this are an error.
 MAX_SIZES = 1000
@@ -133,8 +132,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    docs, names = _read(spark, sf, "documents"), _read(spark, sf, "name_lexicon")
-    return redact(docs, names, fit(checkpoint(propose(docs, names))))
+    return redact_personal(_read(spark, sf, "documents"), _read(spark, sf, "name_lexicon"))
 
 
 QUERIES = {
