@@ -43,14 +43,14 @@ def test_rules_override_defaults(spark):
 
 def test_learned_override_defaults(spark):
     got = found(resolve(specs(spark, format_doc())))
-    assert got["margin_left_inches"] == (1.25, "ml_learned") and got["page_width_inches"] == (8.5, "default")
+    assert got["margin_left_inches"] == (1.4, "ml_learned") and got["page_width_inches"] == (8.5, "default")
 
 
 def test_all_three_tiers(spark):
     r = rules(spark, [("a", "font_size_pt", 12.0)])
     got = found(resolve(specs(spark, format_doc(), sets=["a"]), r))
     assert got["font_size_pt"] == (12.0, "rule")
-    assert got["font_name"] == ("Times New Roman", "ml_learned")
+    assert got["font_name"] == ("Garamond", "ml_learned")
     assert got["block_quote_indent_inches"] == (0.5, "default")
     assert "headings" not in got and "document_count" not in got
 
@@ -79,7 +79,7 @@ def test_null_rule_wins_and_unknown_keys_are_added(spark):
     r = rules(spark, [("a", "line_spacing", None), ("a", "gutter_inches", 0.1), ("a", "font_family", "X"), ("b", "font_name", "Y"), (None, "font_name", "Z")])
     got = found(resolve(specs(spark, format_doc(), sets=["a"]), r))
     assert got["line_spacing"] == (None, "rule") and got["gutter_inches"] == (0.1, "rule")
-    assert got["font_family"] == ("X", "rule") and got["font_name"] == ("Times New Roman", "ml_learned")
+    assert got["font_family"] == ("X", "rule") and got["font_name"] == ("Garamond", "ml_learned")
     without = found(resolve(specs(spark, format_doc(), sets=[None]), r))
     assert "gutter_inches" not in without and without["font_name"][1] == "ml_learned"
 
@@ -110,7 +110,7 @@ def test_union_form_is_equal(spark):
 def test_wide_repeated_empty_and_clashing(spark):
     s = specs(spark, format_doc())
     wide = to_wide(resolve(s)).first()
-    assert wide["values"]["font_name"] == "Times New Roman" and wide["_provenance"]["page_width_inches"] == "default"
+    assert wide["values"]["font_name"] == "Garamond" and wide["_provenance"]["page_width_inches"] == "default"
     assert resolve(s.unionAll(s)).count() == 2 * resolve(s).count()
     assert resolve(s.limit(0)).count() == 0
     assert resolve(s.withColumn("key", F.lit(1)).withColumn("_rules", F.lit(2))).count() == resolve(s).count()

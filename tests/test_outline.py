@@ -16,10 +16,10 @@ def outline(spark, doc, argument_type=None):
     return suggest_outline(parse_structure_specs(df), argument_type).orderBy("ord").collect()
 
 
-@pytest.mark.parametrize("argument_type", [None, "", "sufficiency"])
+@pytest.mark.parametrize("argument_type", [None, "", "laches"])
 def test_basic(spark, argument_type):
     rows = outline(spark, structure_doc(), argument_type)
-    assert [(r.ord, r.component) for r in rows] == [(1, "rule_statement"), (2, "rule_explanation"), (3, "fact_application"), (4, "conclusion")]
+    assert [(r.ord, r.component) for r in rows] == [(1, "rule_statement"), (2, "exception"), (3, "analysis"), (4, "fact_application"), (5, "conclusion")]
     assert all(r.description and r.pattern_type == "rule_application" and r.outline_kind == "pattern" for r in rows)
 
 
@@ -43,7 +43,7 @@ def test_empty_components_give_no_fallback(spark):
 def test_section_fallback(spark):
     doc = structure_doc(reasoning_patterns=[])
     assert [(r.ord, r.section_type, r.expected_citations) for r in outline(spark, doc)] == [
-        (1, "main_argument", 5), (2, "sub_argument", 2), (3, "standard_of_review", 1),
+        (1, "main_argument", 7), (2, "factual_background", 0), (3, "sub_argument", 3),
     ]
     doc["argument_sections"] = [section("x", "other"), section("x", "wanted"), section("main_argument", "other")]
     assert [(r.ord, r.argument_type) for r in outline(spark, doc, "wanted")] == [(1, "wanted"), (2, "other")]

@@ -54,17 +54,17 @@ def test_flat_tables(spark):
     doc = format_doc() | structure_doc(reasoning_patterns=[pattern("x")])
     t = {n: df.collect() for n, df in shred(files(spark, (7, doc))).items()}
     assert {n: len(rows) for n, rows in t.items()} == {
-        "typography": 1, "typography_fields": 3, "headings": 2, "heading_fields": 6, "sections": 3, "steps": 4, "citation_graph": 1, "citation_counts": 9,
+        "typography": 1, "typography_fields": 3, "headings": 2, "heading_fields": 6, "sections": 3, "steps": 6, "citation_graph": 1, "citation_counts": 7,
     }
     size = next(r for r in t["typography_fields"] if r.field == "font_size_pt")
-    assert (size.file_id, size.parent, size.value, size.confidence, size.sample_count) == (7, "typography", "13.0", 0.85, 3)
-    assert sorted((r.ordinal, r.level) for r in t["headings"]) == [(0, 1), (1, 2)]
+    assert (size.file_id, size.parent, size.value, size.confidence, size.sample_count) == (7, "typography", "11.5", 0.64, 9)
+    assert sorted((r.ordinal, r.level) for r in t["headings"]) == [(0, 1), (1, 3)]
     assert sorted((r.parent, r.ordinal, r.step) for r in t["steps"])[:2] == [
-        ("argument_sections[0]", 0, "rule_statement"), ("argument_sections[0]", 1, "fact_application"),
+        ("argument_sections[0]", 0, "issue_statement"), ("argument_sections[0]", 1, "rule_statement"),
     ]
-    assert {(r.map_name, r.key, r.n) for r in t["citation_counts"]} >= {("court_distribution", "Wis.", 6), ("signal_distribution", "see also", 1)}
-    assert t["citation_graph"][0].total_citations == 14
-    assert next(r for r in t["sections"] if r.section_type == "main_argument").citation_count == 5
+    assert {(r.map_name, r.key, r.n) for r in t["citation_counts"]} >= {("court_distribution", "Mill Ct.", 12), ("signal_distribution", "accord", 2)}
+    assert t["citation_graph"][0].total_citations == 22
+    assert next(r for r in t["sections"] if r.section_type == "main_argument").citation_count == 7
 
 
 def test_broken_repeated_null_and_empty(spark):
