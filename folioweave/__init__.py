@@ -4,7 +4,7 @@ Every public function takes and returns DataFrames or Columns, is lazy unless
 its docstring says otherwise, and never changes the session's configuration.
 """
 
-from folioweave.operators.cascade import built_in_defaults, resolve, to_wide
+from folioweave.operators.cascade import built_in_defaults, resolve, rules_from_dicts, rules_from_json, to_wide
 from folioweave.operators.drift import SpecDrift
 from folioweave.operators.outline import suggest_outline
 from folioweave.operators.shred import shred
@@ -23,6 +23,8 @@ __all__ = [
     "read_format_specs",
     "read_structure_specs",
     "resolve",
+    "rules_from_dicts",
+    "rules_from_json",
     "shred",
     "suggest_outline",
     "to_wide",

@@ -29,20 +29,22 @@ def component_description(col: Column) -> Column:
 
 
 def json_scalar(col: Column) -> Column:
-    """Tagged scalar of a JSON scalar's text; null text is the JSON null."""
+    """Tagged value of a JSON value's text; null text is the JSON null. Arrays and objects keep their JSON text."""
     text = F.trim(col)
     number = text.try_cast("double")
     kind = (
         F.when(text.isNull() | (text == "null"), "null")
         .when(text.isin("true", "false"), "boolean")
         .when(number.isNotNull(), "number")
+        .when(text.startswith("["), "array")
+        .when(text.startswith("{"), "object")
         .otherwise("string")
     )
     # from_json undoes the escapes of a quoted string.
     unquoted = F.coalesce(F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v STRING")["v"], text)
     return F.struct(
         kind.alias("type"),
-        F.when(kind == "string", unquoted).alias("s"),
+        F.when(kind == "string", unquoted).when(kind.isin("array", "object"), text).alias("s"),
         F.when(kind == "number", number).alias("d"),
         F.when(kind == "boolean", text == "true").alias("b"),
     )

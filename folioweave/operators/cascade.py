@@ -10,9 +10,12 @@ kept as an independent second form that the tests compare with the first.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioweave.functions.text import json_scalar
 from folioweave.schemas import (
     BUILT_IN_DEFAULTS,
     ENTRY_TYPE,
@@ -25,11 +28,12 @@ from folioweave.schemas import (
 
 
 def value(x: object) -> Column:
-    """Tagged scalar of a Python scalar."""
-    kinds = {str: ("string", "s"), bool: ("boolean", "b"), int: ("number", "d"), float: ("number", "d")}
+    """Tagged value of a Python value; lists, tuples and dicts keep their JSON text."""
+    kinds = {str: ("string", "s"), bool: ("boolean", "b"), int: ("number", "d"), float: ("number", "d"), list: ("array", "s"), tuple: ("array", "s"), dict: ("object", "s")}
     if x is None:
         return _null_value()
     kind, slot = kinds[type(x)]
+    x = json.dumps(x, ensure_ascii=False) if kind in ("array", "object") else x
     parts = {"s": F.lit(None).cast("string"), "d": F.lit(None).cast("double"), "b": F.lit(None).cast("boolean")}
     parts[slot] = F.lit(float(x) if slot == "d" else x)
     return F.struct(F.lit(kind).alias("type"), *[c.alias(k) for k, c in parts.items()])
@@ -76,12 +80,13 @@ def built_in_defaults(spark: SparkSession, defaults: dict | None = None) -> Data
 
 
 def truthy(val: Column) -> Column:
-    """Python truth of a tagged scalar, never null; NaN is true."""
+    """Python truth of a tagged value, never null; NaN is true."""
     t = val["type"]
     true = (
         F.when(t == "string", val["s"] != "")
         .when(t == "number", F.isnan(val["d"]) | (val["d"] != 0))
         .when(t == "boolean", val["b"])
+        .when(t.isin("array", "object"), ~val["s"].rlike(r"^[\[{]\s*[\]}]$"))
     )
     return F.coalesce(true, F.lit(False))
 
@@ -126,13 +131,35 @@ def learned_entries() -> Column:
     return F.when(overall_gate(F.col("overall_confidence")), F.concat(typography, layout)).otherwise(none)
 
 
+def rules_from_json(texts: DataFrame, json_col: str = "value", rule_set_col: str = "rule_set", part: str = "page_format") -> DataFrame:
+    """Rules of JSON documents that hold them in an object ``part``: rule set, pos, key, val.
+
+    Values keep their types, arrays and objects as JSON text; a null rule stays.
+    Text that is null, not JSON or without that part has no rules.
+    """
+    found = F.from_json(F.col(json_col), f"`{part}` MAP<STRING, VARIANT>")[part]
+    rows = texts.select(rule_set_col, F.posexplode(found).alias("pos", "key", "_v"))
+    return rows.select(rule_set_col, "pos", "key", json_scalar(F.to_json("_v")).alias("val"))
+
+
+def rules_from_dicts(spark: SparkSession, rules: dict[str, dict], rule_set_col: str = "rule_set", part: str = "page_format") -> DataFrame:
+    """:func:`rules_from_json` of a few rule sets, as a caller holds them: name -> {"page_format": {key: value}}."""
+    rows = [(name, json.dumps(r)) for name, r in rules.items()]
+    return rules_from_json(spark.createDataFrame(rows, f"`{rule_set_col}` STRING, value STRING"), rule_set_col=rule_set_col, part=part)
+
+
 def rule_sets(rules: DataFrame, rule_set_col: str) -> DataFrame:
-    """One row a rule set with its rules as an array; of a key given twice the greatest value counts.
+    """One row a rule set with its rules as an array.
+
+    Of a key given twice the last by ``pos`` counts; of a relation without that
+    column, which has no order, the greatest value.
 
     The reserved key is refused when the query runs.
     """
     key = F.when(F.col("key") != RESERVED_KEY, F.col("key")).otherwise(F.raise_error(F.lit(f"{RESERVED_KEY} is reserved")))
-    one = rules.filter("key IS NOT NULL").groupBy(rule_set_col, key.alias("key")).agg(F.max("val").alias("val"))
+    one = rules.filter("key IS NOT NULL").groupBy(rule_set_col, key.alias("key")).agg(
+        (F.max_by("val", "pos") if "pos" in rules.columns else F.max("val")).alias("val")
+    )
     return one.groupBy(rule_set_col).agg(F.collect_list(_entry(F.col("key"), F.col("val"), "rule")).alias("_rules"))
 
 
@@ -197,9 +224,11 @@ def value_text(val: Column) -> Column:
 
 
 def to_wide(resolved: DataFrame) -> DataFrame:
-    """One row a spec: ``values`` (key to text) and ``_provenance`` (key to tier), both maps."""
+    """One row a spec: ``values`` (key to text), ``typed`` (key to tagged value) and ``_provenance`` (key to tier), all maps."""
     pairs = F.collect_list(F.struct("key", value_text(F.col("val")).alias("v")))
     tiers = F.collect_list(F.struct("key", "provenance"))
     return resolved.groupBy("spec_id").agg(
-        F.map_from_entries(pairs).alias("values"), F.map_from_entries(tiers).alias(RESERVED_KEY)
+        F.map_from_entries(pairs).alias("values"),
+        F.map_from_entries(F.collect_list(F.struct("key", "val"))).alias("typed"),
+        F.map_from_entries(tiers).alias(RESERVED_KEY)
     )

@@ -21,7 +21,8 @@ from folioweave.operators.drift import SpecDrift
 from folioweave.operators.outline import best_model, suggest_outline
 from folioweave.operators.shred import adjacency, entities, other_fields, parent_child_links, tables
 from folioweave.schemas import BUILT_IN_DEFAULTS, COMPONENT_DESCRIPTIONS
-from folioweave.sources.specs import parse_format_specs, parse_structure_specs
+from folioweave.session import scratch
+from folioweave.sources.specs import _FORMAT_PARTS, _STRUCTURE_PARTS, parse_format_specs, parse_structure_specs, read_structure_specs
 
 CUSTOM_DEFAULTS = {"font_name": "Plinth Sans", "gutter_inches": 0.25}
 ARGUMENT_TYPE = "statutory_construction"
@@ -214,6 +215,32 @@ def q26(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(F.from_json("props", "k INT")["k"], F.lit(0)).alias("k"))
 
 
+def _raw(spark: SparkSession, sf: str, spec_kind: str) -> DataFrame:
+    files = latest(_read(spark, sf, "spec_files").select("file_id", "spec_kind", "received_at", "raw_json"), "file_id")
+    return files.filter(F.col("spec_kind") == spec_kind).select("file_id", F.col("raw_json").alias("value"))
+
+
+def q27(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files through both loaders: every file with what is wrong with it."""
+    formats = parse_format_specs(_raw(spark, sf, "format"), on_error="quarantine").select("file_id", "problem")
+    return formats.unionByName(parse_structure_specs(_raw(spark, sf, "structure"), on_error="quarantine").select("file_id", "problem"))
+
+
+def q28(spark: SparkSession, sf: str) -> DataFrame:
+    """What the strict loader reads of the format files that aren't quarantined."""
+    rows = parse_format_specs(_raw(spark, sf, "format"), on_error="quarantine").filter("problem IS NULL")
+    return rows.select("file_id", "document_count", F.size("headings").alias("n_headings"), F.size("sections").alias("n_sections"))
+
+
+def q29(spark: SparkSession, sf: str) -> DataFrame:
+    """Structure files written as files, one each, and read from their folder."""
+    folder = scratch(spark)
+    _raw(spark, sf, "structure").filter("file_id IS NOT NULL").write.partitionBy("file_id").text(folder)
+    rows = read_structure_specs(spark, f"{folder}/*/*.txt", on_error="quarantine")
+    file_id = F.regexp_extract("spec_id", r"/file_id=(-?\d+)/", 1).cast("bigint").alias("file_id")
+    return rows.select(file_id, "problem", F.when(F.col("problem").isNull(), F.size("sections")).alias("n_sections"))
+
+
 def _drift(spark: SparkSession, sf: str) -> SpecDrift:
     return SpecDrift(_read(spark, sf, "spec_files"), _read(spark, sf, "field_catalog"))
 
@@ -305,6 +332,9 @@ QUERIES = {
     "q24_filtered_fallback": q24,
     "q25_title_case": q25,
     "q26_events_json_field": q26,
+    "q27_quarantined_files": q27,
+    "q28_format_files": q28,
+    "q29_structure_files_in_a_folder": q29,
     "p1_found": p1_found,
     "p1_lifespans": p1_lifespans,
     "p1_log": p1_log,
@@ -468,7 +498,38 @@ _COUNTS_FLAT = (
     f"{_int('(e.value ->> ' + chr(39) + '$' + chr(39) + ')')} AS n FROM k WHERE coalesce(json_type(e.value), 'NULL') <> 'NULL'"
 )
 
+def _problem_sql(parts: tuple[list[str], list[str]]) -> str:
+    """The first defect of a file, as the strict loaders name it."""
+    objects, arrays = parts
+    cases = ["WHEN coalesce(json_type(j), '') <> 'OBJECT' THEN 'malformed'"]
+    for p in objects:
+        at = f"json_extract(j, '$.{p}')"
+        cases.append(f"WHEN json_exists(j, '$.{p}') AND NOT coalesce(ltrim({at} ->> '$'), '') LIKE '{{%' THEN 'not_an_object:{p}'")
+    for p in arrays:
+        text = f"(json_extract(j, '$.{p}') ->> '$')"
+        a = f"CASE WHEN json_valid({text}) THEN {text}::JSON END"
+        bad = f"len(list_filter(json_extract({a}, '$[*]'), lambda x: NOT coalesce(ltrim(x ->> '$'), '') LIKE '{{%')) > 0"
+        cases.append(f"WHEN json_exists(j, '$.{p}') AND (coalesce(json_type({a}), '') <> 'ARRAY' OR {bad}) THEN 'not_an_array_of_objects:{p}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_RAW = (
+    "raw AS (SELECT file_id, spec_kind, CASE WHEN json_valid(raw_json) THEN raw_json::JSON END AS j FROM spec_files "
+    "QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1), told AS (SELECT *, CASE spec_kind "
+    f"WHEN 'format' THEN {_problem_sql(_FORMAT_PARTS)} ELSE {_problem_sql(_STRUCTURE_PARTS)} END AS problem FROM raw)"
+)
+
+
+def _length(x: str) -> str:
+    return f"coalesce(json_array_length(json_extract(j, '$.{x}')), 0)::INT"
+
+
 SQL = {
+    "q27_quarantined_files": f"WITH {_RAW} SELECT file_id, problem FROM told WHERE spec_kind IN ('format', 'structure')",
+    "q28_format_files": f"WITH {_RAW} SELECT file_id, coalesce(try_cast(json_extract_string(j, '$._export_metadata.document_count') AS INT), 0) AS document_count, "
+    f"{_length('headings')} AS n_headings, {_length('sections')} AS n_sections FROM told WHERE spec_kind = 'format' AND problem IS NULL",
+    "q29_structure_files_in_a_folder": f"WITH {_RAW} SELECT file_id, problem, CASE WHEN problem IS NULL THEN {_length('argument_sections')} END AS n_sections "
+    "FROM told WHERE spec_kind = 'structure'",
     "p5_headings": _HEADINGS_SQL,
     "p5_sections": _SECTIONS_FLAT,
     "p5_steps": _STEPS_FLAT,

@@ -5,9 +5,9 @@ import pytest
 from payloads import format_doc, wrapped
 from pyspark.sql import functions as F
 
-from folioweave import built_in_defaults, parse_format_specs, resolve, to_wide
+from folioweave import built_in_defaults, parse_format_specs, resolve, rules_from_dicts, rules_from_json, to_wide
 from folioweave.functions.text import json_scalar
-from folioweave.operators.cascade import resolve_by_union, value_text
+from folioweave.operators.cascade import resolve_by_union, truthy, value_text
 
 
 def specs(spark, *docs, sets=None):
@@ -115,3 +115,27 @@ def test_wide_repeated_empty_and_clashing(spark):
     assert resolve(s.limit(0)).count() == 0
     assert resolve(s.withColumn("key", F.lit(1)).withColumn("_rules", F.lit(2))).count() == resolve(s).count()
     assert resolve(s).filter(value_text(F.col("val")).isNull()).count() == 0
+
+
+def test_rules_as_the_caller_holds_them(spark):
+    r = rules_from_dicts(spark, {"a": {"page_format": {"font_name": "Caslon", "columns": [1, "x"], "gutter": {"in": 0.5}, "line_spacing": None, "double_sided": True, "n": "12"}, "other": 1}, "b": {}})
+    rows = {x.key: x for x in resolve(specs(spark, format_doc(), sets=["a"]), r).collect()}
+    assert (rows["columns"].val.type, json.loads(rows["columns"].val.s)) == ("array", [1, "x"])
+    assert (rows["gutter"].val.type, json.loads(rows["gutter"].val.s)) == ("object", {"in": 0.5})
+    assert rows["line_spacing"].val.type == "null" and rows["double_sided"].val.b is True and rows["n"].val.s == "12" and rows["font_name"].provenance == "rule"
+    assert resolve(specs(spark, format_doc(), sets=["b"]), r).filter("provenance = 'rule'").count() == 0
+    with pytest.raises(Exception, match="reserved"):
+        resolve(specs(spark, format_doc(), sets=["a"]), rules_from_dicts(spark, {"a": {"page_format": {"_provenance": 1}}})).collect()
+
+
+def test_the_last_of_repeated_rules_counts(spark):
+    texts = [("a", '{"page_format": {"x": 9, "y": 1, "x": 2}}'), ("a", None), ("b", "{"), ("c", '{"page_format": null}')]
+    r = rules_from_json(spark.createDataFrame(texts, "rule_set STRING, value STRING"))
+    assert found(resolve(specs(spark, format_doc(), sets=["a"]), r))["x"] == (2.0, "rule") and {x.rule_set for x in r.collect()} == {"a"}
+
+
+def test_typed_values(spark):
+    wide = to_wide(resolve(specs(spark, format_doc()), defaults={"a": 1.0, "tags": ["x"], "empty": {}})).first()
+    assert (wide.typed["a"].type, wide.typed["a"].d) == ("number", 1.0) and json.loads(wide.typed["tags"].s) == ["x"]
+    df = resolve(specs(spark, format_doc()), defaults={"tags": ["x"], "empty": {}}, learned=False)
+    assert {r.key: r.t for r in df.select("key", truthy(F.col("val")).alias("t")).collect()} == {"tags": True, "empty": False}
