@@ -503,13 +503,10 @@ def _problem_sql(parts: tuple[list[str], list[str]]) -> str:
     objects, arrays = parts
     cases = ["WHEN coalesce(json_type(j), '') <> 'OBJECT' THEN 'malformed'"]
     for p in objects:
-        at = f"json_extract(j, '$.{p}')"
-        cases.append(f"WHEN json_exists(j, '$.{p}') AND NOT coalesce(ltrim({at} ->> '$'), '') LIKE '{{%' THEN 'not_an_object:{p}'")
+        cases.append(f"WHEN json_exists(j, '$.{p}') AND json_type(j, '$.{p}') <> 'OBJECT' THEN 'not_an_object:{p}'")
     for p in arrays:
-        text = f"(json_extract(j, '$.{p}') ->> '$')"
-        a = f"CASE WHEN json_valid({text}) THEN {text}::JSON END"
-        bad = f"len(list_filter(json_extract({a}, '$[*]'), lambda x: NOT coalesce(ltrim(x ->> '$'), '') LIKE '{{%')) > 0"
-        cases.append(f"WHEN json_exists(j, '$.{p}') AND (coalesce(json_type({a}), '') <> 'ARRAY' OR {bad}) THEN 'not_an_array_of_objects:{p}'")
+        bad = f"len(list_filter(json_extract(j, '$.{p}[*]'), lambda x: json_type(x) <> 'OBJECT')) > 0"
+        cases.append(f"WHEN json_exists(j, '$.{p}') AND (json_type(j, '$.{p}') <> 'ARRAY' OR {bad}) THEN 'not_an_array_of_objects:{p}'")
     return f"CASE {' '.join(cases)} END"
 
 

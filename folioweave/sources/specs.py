@@ -29,18 +29,20 @@ _STRUCTURE_PARTS = (
 
 
 def json_problem(text: Column, objects: list[str], arrays: list[str]) -> Column:
-    """Name of the first defect of a document that a strict loader rejects, else null."""
+    """Name of the first defect of a document that a strict loader rejects, else null.
+
+    A string that holds JSON is a string: where an object is due, it is a defect.
+    """
     top = F.from_json(text, "MAP<STRING, STRING>")
+    # Read with these types, what is no object (or has an element that is none) comes out as null.
+    kinds = [f"`{p}` STRUCT<`~`: STRING>" for p in objects] + [f"`{p}` ARRAY<STRUCT<`~`: STRING>>" for p in arrays]
+    shape = F.from_json(text, ", ".join(kinds))
     problem = F.when(top.isNull(), F.lit("malformed"))
     for part in objects:
-        bad = F.map_contains_key(top, part) & ~F.coalesce(F.ltrim(top[part]).startswith("{"), F.lit(False))
-        problem = problem.when(bad, F.lit(f"not_an_object:{part}"))
+        problem = problem.when(F.map_contains_key(top, part) & shape[part].isNull(), F.lit(f"not_an_object:{part}"))
     for part in arrays:
-        items = F.from_json(top[part], "ARRAY<STRING>")
-        bad = F.map_contains_key(top, part) & (
-            items.isNull() | F.exists(items, lambda x: ~F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)))
-        )
-        problem = problem.when(bad, F.lit(f"not_an_array_of_objects:{part}"))
+        bad = shape[part].isNull() | F.exists(shape[part], lambda x: x.isNull())
+        problem = problem.when(F.map_contains_key(top, part) & bad, F.lit(f"not_an_array_of_objects:{part}"))
     return problem
 
 

@@ -81,6 +81,9 @@ BROKEN = {
     "top-level array": ("[{}]", "malformed"),
     "null section": ('{"layout": null}', "not_an_object:layout"),
     "null array": ('{"headings": null}', "not_an_array_of_objects:headings"),
+    "element that only holds JSON": ('{"headings": [{"level": 1}, "{\\"level\\": 2}"]}', "not_an_array_of_objects:headings"),
+    "section that only holds JSON": ('{"layout": "{}"}', "not_an_object:layout"),
+    "null element": ('{"sections": [{}, null]}', "not_an_array_of_objects:sections"),
     "scalar element": ('{"headings": [1]}', "not_an_array_of_objects:headings"),
 }
 
