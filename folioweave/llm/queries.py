@@ -182,7 +182,23 @@ _BASKETS = (
     "JOIN o z ON z.field_name = p.field_name AND z.item = item_b JOIN n ON n.field_name = p.field_name)"
 )
 
+# Every subsequence of every sequence, by its earliest place: an item is taken only where it comes first after the one before.
+_PATTERNS = (
+    f"WITH RECURSIVE {_S}, l AS (SELECT 'reasoning_flow' AS field_name, {_terms('a.reasoning_flow')} AS items FROM (SELECT unnest(argument_sections) AS a FROM s) "
+    f"UNION ALL SELECT 'components', {_terms('a.components')} FROM (SELECT unnest(reasoning_patterns) AS a FROM s)), "
+    "q AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM l WHERE len(items) > 0), n AS (SELECT field_name, count(*) AS n_all FROM q GROUP BY ALL), "
+    "x AS MATERIALIZED (SELECT id, field_name, unnest(items) AS item, unnest(range(len(items))) AS pos FROM q), "
+    "o AS (SELECT field_name, item FROM x JOIN n USING (field_name) GROUP BY field_name, item, n_all HAVING count(DISTINCT id) >= 3 AND count(DISTINCT id) * 100 >= n_all), "
+    "y AS MATERIALIZED (SELECT *, coalesce(lag(pos) OVER (PARTITION BY id, item ORDER BY pos), -1) AS before FROM x JOIN o USING (field_name, item)), "
+    "r AS (SELECT id, field_name, item AS pattern, pos, 1 AS k FROM y WHERE before = -1 UNION ALL "
+    "SELECT r.id, r.field_name, r.pattern || ' > ' || y.item, y.pos, k + 1 FROM r JOIN y ON y.id = r.id AND y.pos > r.pos AND y.before <= r.pos), "
+    "f AS (SELECT field_name, pattern, k, count(*) AS n_sequences, n_all FROM r JOIN n USING (field_name) GROUP BY field_name, pattern, k, n_all "
+    "HAVING count(*) >= 3 AND count(*) * 100 >= n_all)"
+)
+
 SQL = {
+    "p4_found": _PATTERNS + " SELECT field_name, pattern FROM f WHERE k >= 3",
+    "p4_supports": _PATTERNS + " SELECT field_name, pattern, n_sequences, n_all FROM f",
     "p2_found": _COUNTS + " SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_term_counts": _COUNTS + " SELECT * FROM m",
     "p3_found": _BASKETS + " SELECT field_name, item_a, item_b FROM f WHERE n_ab >= 3 AND 1000 * n_ab >= n AND n_ab * n >= 2 * n_a * n_b",
