@@ -11,6 +11,7 @@ of spans. Both together decide on all spans.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -134,23 +135,34 @@ def propose(documents: DataFrame, names: DataFrame, id_col: str = "doc_id", text
         docs = docs.filter("text <> ''")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = shipped.value
         for batch in batches:
-            kept, spans = [], []
+            kept, ends = [], [0]
+            columns: list[list] = [[] for _ in _SPAN_ARROW]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                found = shipped.value.candidates(text) if text else []
+                found = finder.candidates(text) if text else ()
+                for c in found:
+                    for column, x in zip(columns, _told(text, c), strict=True):
+                        column.append(x)
                 if found or keep_text:
                     kept.append(i)
-                    spans.append([_row(text, c) for c in found])
+                    ends.append(len(columns[0]))
+            structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN_ARROW, strict=True)], fields=list(_SPAN_ARROW))
             rows = batch.take(pa.array(kept, pa.int64()))
-            columns = [*rows.columns] if keep_text else [rows.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(_SPAN_ARROW))], names=["doc_id", *["text"] * keep_text, "spans"])
+            own = [*rows.columns] if keep_text else [rows.column(0)]
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays([*own, spans], names=["doc_id", *["text"] * keep_text, "spans"])
 
     return docs.mapInArrow(find, f"doc_id BIGINT, {'text STRING, ' if keep_text else ''}spans ARRAY<{_SPAN}>")
 
 
+def _told(text: str, c: Candidate) -> tuple:
+    """A candidate as the fields of ``_SPAN_ARROW``."""
+    return c.pii_type, c.start, c.end, text[c.start : c.end], bytes(v + 1 for v in c.votes), array("H", c.features).tobytes()
+
+
 def _row(text: str, c: Candidate) -> dict:
-    votes, features = bytes(v + 1 for v in c.votes), np.array(c.features, dtype=np.uint16).tobytes()
-    return {"pii_type": c.pii_type, "start": c.start, "end": c.end, "pii_text": text[c.start : c.end], "votes": votes, "features": features}
+    return dict(zip((f.name for f in _SPAN_ARROW), _told(text, c), strict=True))
 
 
 def fit(proposed: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Model:
@@ -185,39 +197,54 @@ def fit(proposed: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Model:
     return Model(prior, reliability, train(features, np.array(labels)))
 
 
-def span_odds(spans: list[dict], model: Model) -> np.ndarray:
+def span_odds(types: list[str], votes: list[bytes], features: list[bytes], model: Model) -> np.ndarray:
     """Logarithms of the spans' odds: those of the classifier and the evidence of the votes, taken together.
 
     The classifier knows a span's words, form and surroundings but not its votes,
     so that each corrects the other.
     """
-    starts = np.cumsum([0, *(len(s["features"]) // 2 for s in spans[:-1])])
-    sums = np.add.reduceat(model.weights[np.frombuffer(b"".join(s["features"] for s in spans), np.uint16)], starts)
+    if not types:
+        return np.zeros(0)
+    starts = np.cumsum([0, *(len(f) // 2 for f in features[:-1])])
+    sums = np.add.reduceat(model.weights[np.frombuffer(b"".join(features), np.uint16)], starts)
     voted: dict[tuple[str, bytes], float] = {}
-    for s in spans:
-        key = (s["pii_type"], bytes(s["votes"]))
-        if key not in voted:
-            voted[key] = model.evidence(*key)
-    return sums + np.array([voted[s["pii_type"], bytes(s["votes"])] for s in spans])
+    for key in set(zip(types, votes, strict=True)):
+        voted[key] = model.evidence(*key)
+    return np.clip(sums + np.array([voted[k] for k in zip(types, votes, strict=True)]), -500, 500)
 
 
 def choose(spans: list[dict], model: Model, threshold: float = 0.5) -> list[dict]:
     """The accepted spans of a document, no two of which overlap, in order.
 
     Of overlapping ones of a type the likelier counts, in three classes (odds of
-    20 and of 400 to one part them), then the longer, then the earlier; of those of several types the likelier.
+    20 and of 400 to one part them), then the longer, then the earlier; of those
+    of several types the likelier.
     """
-    if not spans:
-        return []
-    odds = np.clip(span_odds(spans, model), -500, 500)
+    odds = span_odds([s["pii_type"] for s in spans], [s["votes"] for s in spans], [s["features"] for s in spans], model)
     limit = np.log(threshold / (1 - threshold))
-    scored = [(s, x) for s, x in zip(spans, odds, strict=True) if x > limit]
+    return _sorted_out([(s, x) for s, x in zip(spans, odds.tolist(), strict=True) if x > limit])
+
+
+def _sorted_out(scored: list[tuple[dict, float]]) -> list[dict]:
     scored.sort(key=lambda x: (-min(2, int(x[1] // 3)), x[0]["start"] - x[0]["end"], x[0]["start"]))
     scored = _apart(scored, across=False)
     scored.sort(key=lambda x: (-x[1], x[0]["start"] - x[0]["end"], x[0]["start"], x[0]["pii_type"]))
     return sorted((s for s, _ in _apart(scored, across=True)), key=lambda s: s["start"])
 
 
+def _chosen(lists: pa.ListArray, model: Model) -> Iterator[list[dict]]:
+    """:func:`choose` for every row of a batch; only what is likely leaves Arrow."""
+    offsets, flat = lists.offsets.to_pylist(), lists.flatten()
+    odds = span_odds(*(flat.field(n).to_pylist() for n in ("pii_type", "votes", "features")), model)
+    likely = np.flatnonzero(odds > 0)
+    names = ["pii_type", "start", "end", "pii_text"]
+    parts = (flat.field(n).take(pa.array(likely)).to_pylist() for n in names)
+    told = [(dict(zip(names, values, strict=True)), x) for values, x in zip(zip(*parts, strict=True), odds[likely].tolist(), strict=True)]
+    at = np.searchsorted(likely, np.array(offsets) - offsets[0]).tolist()
+    for low, high in zip(at[:-1], at[1:], strict=True):
+        yield _sorted_out(told[low:high]) if high > low else []
+
+
 def _apart(scored: list[tuple[dict, float]], across: bool) -> list[tuple[dict, float]]:
     """The spans that overlap none before them in the order given: of their type, or of any if ``across``."""
     taken: list[tuple[dict, float]] = []
@@ -234,8 +261,8 @@ def find_spans(proposed: DataFrame, model: Model) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in choose(spans, shipped.value):
+            for doc_id, spans in zip(batch.column(0).to_pylist(), _chosen(batch.column(1), shipped.value), strict=True):
+                for s in spans:
                     for column, x in zip(out, (doc_id, s["pii_type"], s["start"], s["end"], s["pii_text"]), strict=True):
                         column.append(x)
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
@@ -262,8 +289,7 @@ def redacted(proposed: DataFrame, model: Model) -> DataFrame:
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = choose(found, shipped.value)
+            for text, spans in zip(batch.column(1).to_pylist(), _chosen(batch.column(2), shipped.value), strict=True):
                 parts, at = [], 0
                 for s in spans:
                     parts += [text[at : s["start"]], PLACEHOLDERS[s["pii_type"]]]

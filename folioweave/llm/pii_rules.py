@@ -98,6 +98,7 @@ ADDRESSES = {
 }
 
 _PARTICLE = r"(?:di|de\s+la|de\s+los|del|de|da|dos|du|van\s+der|van\s+den|van|von\s+der|von|la|le|af|ten|ter)"
+_PARTICLE_STARTS = "advlt"
 _PARTICLES = set("di de la los del da dos du van der den von le af ten ter".split())
 _INNER_PARTICLE = re.compile(rf"(?:\w+\s+)?{_PARTICLE}\s+")
 _WORD = rf"(?:{_U}\w+|{_U}['’]{_U}\w+)(?:['’]{_U}\w+)?"
@@ -439,7 +440,11 @@ class Finder:
             at = word.start()
             if word[0].rstrip(".") in TITLES and text[at - 1 : at] != "." and (m := TITLED.match(text, at)):
                 found[m.span(1)] = "titled"
-            if text[at - 1 : at] not in NOT_BEFORE_NAMES and (m := FULL_NAME.match(text, at)):
+            # A name goes on with a capital or a particle, so most words need no closer look.
+            behind = text[word.end() : word.end() + 4].lstrip()[:1]
+            if behind.islower() and behind not in _PARTICLE_STARTS or text[at - 1 : at] in NOT_BEFORE_NAMES:
+                continue
+            if m := FULL_NAME.match(text, at):
                 found.setdefault(m.span(1), "full")
         for low, high in _windows([m.start() for m in _COMMA.finditer(text)], 120, 120, len(text)):
             for m in REVERSED.finditer(text, low, high):
