@@ -28,6 +28,26 @@ def latest(df: DataFrame, key: str, received: str = "received_at", tie: str | No
     )
 
 
+#: Keys with several rows that are shipped to the tasks; more are joined by a shuffle.
+MAX_SHIPPED_KEYS = 100_000
+
+
+def latest_of_few(df: DataFrame, key: str, received: str = "received_at") -> DataFrame:
+    """:func:`latest` where the rows are large and few keys have several.
+
+    Only the rows of such keys, and those without a key, are shuffled; the
+    others stay where they are read. Runs a query that reads the keys alone.
+    """
+    counted = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"))
+    several = counted.filter("n > 1").select("_k")
+    kinds, keys = several.schema, several.limit(MAX_SHIPPED_KEYS + 1).collect()
+    if len(keys) <= MAX_SHIPPED_KEYS:
+        several = F.broadcast(df.sparkSession.createDataFrame(keys, kinds))
+    once = df.filter(F.col(key).isNotNull()).join(several, F.col(key) == F.col("_k"), "left_anti")
+    again = df.filter(F.col(key).isNotNull()).join(several, F.col(key) == F.col("_k"), "left_semi")
+    return once.unionByName(latest(again.unionByName(df.filter(F.col(key).isNull())), key, received))
+
+
 def _unused(df: DataFrame, name: str) -> str:
     """A column name that the rows don't have."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions.jsontext import BROKEN, clean, held, kind, load, scalar_text
-from folioweave.operators.deliveries import latest
+from folioweave.operators.deliveries import latest_of_few
 
 # The nested parts and what they hold.
 TYPOGRAPHY_FIELDS = ["font_family", "font_size_pt", "line_spacing"]
@@ -138,39 +138,33 @@ def rebuilt(rows: list[tuple]) -> object:
 
 def _shred_batches(batches: Iterator[pa.RecordBatch], columns: list[str], every: bool) -> Iterator[pa.RecordBatch]:
     at = [list(_COLUMNS).index(c) for c in columns]
-    item = pa.struct([(c, _COLUMNS[c][1]) for c in columns])
+    schema = pa.schema([("file", pa.string())] + [(c, _COLUMNS[c][1]) for c in columns])
 
-    def told(batch: pa.RecordBatch, rows: list[tuple], ends: list[int], low: int, high: int) -> pa.RecordBatch:
-        kept = batch.drop_columns(["raw_json"]).slice(low, high - low)
+    def told(rows: list[tuple], files: list[str]) -> pa.RecordBatch:
         by_column = list(zip(*rows, strict=True)) if rows else [()] * len(_COLUMNS)
-        structs = pa.StructArray.from_arrays([pa.array(by_column[i], f.type) for i, f in zip(at, item, strict=True)], fields=list(item))
-        return pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=[*kept.schema.names, "nodes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((files, *(by_column[i] for i in at)), schema, strict=True)], schema=schema)
 
     for batch in batches:
-        rows, ends, low = [], [0], 0
-        for i, text in enumerate(batch.column("raw_json").to_pylist()):
+        rows, files = [], []
+        for file, text in zip(batch.column("file").to_pylist(), batch.column("raw_json").to_pylist(), strict=True):
             doc = load(text)
             if doc is not BROKEN:
                 rows += nodes(doc, every)
-            ends.append(len(rows))
+                files += [file] * (len(rows) - len(files))
             if len(rows) >= _BATCH_NODES:
-                yield told(batch, rows, ends, low, i + 1)
-                rows, ends, low = [], [0], i + 1
-        yield told(batch, rows, ends, low, batch.num_rows)
-
-
-def _adjacency(files: DataFrame, columns: list[str], every: bool) -> DataFrame:
-    """Adjacency rows under the file's name: its id, or a hash of what it holds. Files are parsed where they are read; what
-    is shuffled, once, are the nodes of each file, which the tables' grouping then finds together."""
-    received = F.col("received_at").cast("string")
-    content = F.concat(F.lit("?"), F.sha2(F.concat_ws(" ", received, "raw_json"), 256))
-    one = files.select(
-        F.coalesce(F.col("file_id").cast("bigint").cast("string"), content).alias("file"), "received_at", F.xxhash64("raw_json").alias("content"), "raw_json"
-    )
-    kept = ", ".join(f"{n}: {t}" for n, t in one.drop("raw_json").dtypes)
-    struct = ", ".join(f"{c}: {_COLUMNS[c][0]}" for c in columns)
-    shredded = one.mapInArrow(lambda batches: _shred_batches(batches, columns, every), f"{kept.replace(':', '')}, nodes ARRAY<STRUCT<{struct}>>")
-    return latest(shredded, "file", tie="content").select("file", F.inline("nodes"))
+                yield told(rows, files)
+                rows, files = [], []
+        yield told(rows, files)
+
+
+def _adjacency(files: DataFrame, columns: list[str], every: bool, apart: bool = True) -> DataFrame:
+    """Adjacency rows under the file's name: its id, or a hash of what it holds (a question mark unless ``apart``). Files are
+    parsed where they are read."""
+    one = latest_of_few(files.select(F.col("file_id").cast("bigint").alias("file_id"), "received_at", "raw_json"), "file_id")
+    content = F.concat(F.lit("?"), F.sha2(F.concat_ws(" ", F.col("received_at").cast("string"), "raw_json"), 256))
+    one = one.select(F.coalesce(F.col("file_id").cast("string"), content if apart else F.lit("?")).alias("file"), "raw_json")
+    fields = ", ".join(f"{c} {_COLUMNS[c][0]}" for c in columns)
+    return one.mapInArrow(lambda batches: _shred_batches(batches, columns, every), f"file STRING, {fields}")
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
@@ -192,18 +186,17 @@ _PIVOTED = list(WRAPPED | {"level": "int"} | SECTION_SCALARS | GRAPH_SCALARS)
 _NEEDED = ["node", "parent", "label", "ordinal", "role", "scalar"]
 
 
-def entities(files: DataFrame) -> DataFrame:
+def entities(files: DataFrame, apart: bool = True) -> DataFrame:
     """Every entity of the nested parts, its scalar children pivoted beside it.
 
-    Object nodes meet their scalar children by file and node, to which an object
-    row brings its place and a scalar row its value: the join of the adjacency
-    table with itself, without a second pass over it and without a shuffle, as
-    a file's nodes are together already.
+    Object nodes meet their scalar children in one shuffle on file and node, to
+    which an object row brings its place and a scalar row its value: the join of
+    the adjacency table with itself without a second pass over it.
     Columns: file_id, node, parent, label, ordinal, role, scalar (of steps, counts
     and bare values), then one text column for each scalar label. Files without
-    an id are told apart by their content.
+    an id are told apart by their content, unless ``apart`` is false.
     """
-    adj = _adjacency(files, _NEEDED, every=False)
+    adj = _adjacency(files, _NEEDED, every=False, apart=apart)
     is_scalar = F.col("role") == "scalar"
     place = F.struct("role", "parent", "label", "ordinal", "scalar")
     grouped = adj.groupBy("file", F.when(is_scalar, F.col("parent")).otherwise(F.col("node")).alias("node")).agg(
@@ -260,5 +253,5 @@ def tables(all_entities: DataFrame) -> dict[str, DataFrame]:
 
 def parent_child_links(files: DataFrame) -> DataFrame:
     """Distinct (file_id, parent_path, child_path) of the rows of all flat tables."""
-    rows = entities(files).filter("role IS NOT NULL").select("file_id", F.col("parent").alias("parent_path"), F.col("node").alias("child_path"))
-    return rows.filter("file_id IS NOT NULL").unionByName(rows.filter("file_id IS NULL").distinct())
+    rows = entities(files, apart=False).filter("role IS NOT NULL")
+    return rows.select("file_id", F.col("parent").alias("parent_path"), F.col("node").alias("child_path"))

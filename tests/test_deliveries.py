@@ -1,6 +1,9 @@
 from datetime import datetime
 
-from folioweave.operators.deliveries import latest
+import pytest
+
+from folioweave.operators import deliveries
+from folioweave.operators.deliveries import latest, latest_of_few
 
 T = [datetime(2025, 1, d) for d in (1, 2, 3)]
 
@@ -29,3 +32,12 @@ def test_a_key_of_very_many_rows(spark):
     df = spark.range(20_000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "timestamp_seconds(id) AS received_at", "id")
     rows = {r.k: r.id for r in latest(df, "k").collect()}
     assert len(rows) == len({7 if i % 3 == 0 else i for i in range(20_000)}) and rows[7] == 19_998
+
+
+@pytest.mark.parametrize("shipped", [100, 1])
+def test_few_repeated_keys(spark, monkeypatch, shipped):
+    monkeypatch.setattr(deliveries, "MAX_SHIPPED_KEYS", shipped)
+    rows = [(1, T[0], "a"), (1, T[2], "b"), (2, T[0], "x"), (2, T[0], "x"), (3, T[1], "y"), (None, T[0], "n"), (None, T[0], "n"), (None, T[1], "n")]
+    df = spark.createDataFrame(rows, "k INT, received_at TIMESTAMP, v STRING")
+    kept = lambda d: sorted(map(str, d.collect()))
+    assert kept(latest_of_few(df, "k")) == kept(latest(df, "k")) and latest_of_few(df.limit(0), "k").count() == 0
