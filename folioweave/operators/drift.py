@@ -28,6 +28,7 @@ from folioweave.functions.jsontext import BROKEN, clean, kind, load
 from folioweave.operators.casts import Caster
 from folioweave.operators.deliveries import latest
 from folioweave.operators.names import alias_cost
+from folioweave.session import checkpoint
 
 #: Tracked paths: a container with True for all below it, False for its direct fields.
 DEFAULT_SCOPE = {
@@ -363,7 +364,7 @@ class SpecDrift:
     """Drift of ``files`` (file_id, spec_kind, received_at, raw_json, a producer) against a catalogue.
 
     The catalogue (spec_kind, field_path, json_type, is_required) is read when
-    this is made; everything else is lazy. Of a file delivered again the latest
+    this is made; everything else but ``lifespans`` and ``log`` is lazy. Of a file delivered again the latest
     row counts. Null or unknown kinds, text that is not JSON and JSON that is
     no object have no fields and so no states; files without an id are told
     apart by their content. Files of a producer that arrive together are ordered
@@ -415,8 +416,11 @@ class SpecDrift:
         The files of the deviating islands meet again by file; ``change_kind`` is a
         state of :func:`resolved`.
         """
+        return self._states(self.islands())
+
+    def _states(self, islands: DataFrame) -> DataFrame:
         catalogs, scope = self.catalogs, self.scope
-        rows = self.islands().filter(F.col("verdict").isin(*DEVIATING))
+        rows = islands.filter(F.col("verdict").isin(*DEVIATING))
         rows = rows.select("spec_kind", "producer", "path", "json_type", "verdict", "run", "started_at", F.inline("files"))
         fields = F.collect_list(F.struct("path", "json_type", "verdict", "run", "started_at")).alias("fields")
         by_file = rows.groupBy("file", "spec_kind", "producer", "received_at").agg(fields)  # no more than the file's fields
@@ -438,10 +442,13 @@ class SpecDrift:
         started_at, last_at, ended_at (when the next type was first seen, null
         if none was), n_files. ``state`` is the verdict of the catalogue, for
         deviating fields what became of them in the files (the last by name if
-        that differs), ``alias_path`` one of their names then.
+        that differs), ``alias_path`` one of their names then. The islands are
+        written to the checkpoint folder, as their numbers must be the same in
+        both uses.
         """
-        runs = self.islands().drop("files")
-        known = self.states().groupBy("run").agg(F.max("change_kind").alias("told"), F.max("alias_path").alias("alias_path"))
+        islands = checkpoint(self.islands())
+        runs = islands.drop("files")
+        known = self._states(islands).groupBy("run").agg(F.max("change_kind").alias("told"), F.max("alias_path").alias("alias_path"))
         keys = ["spec_kind", "producer", "path", "json_type"]
         rest = [F.min("started_at").alias("started_at"), F.max("last_at").alias("last_at"), F.max("ended_at").alias("ended_at")]
         whole = runs.groupBy("run", *keys).agg(F.first("verdict").alias("verdict"), *rest, F.sum("n_files").alias("n_files"), F.max("edge").alias("edge"))
